@@ -4,18 +4,19 @@ Method: circulant MinHash. A first permutation scatters the hashed shingles over
 shifted along the ring by k places, gives the k-th coordinate of the signature. Signatures are banded; records that
 agree in a band are candidates; every candidate pair is verified by the exact Jaccard similarity of the shingle sets.
 
-Records with equal shingle sets are one class: only a class's smallest id is banded and compared, and links are given
-back to all members at the end.
+Records with equal texts are one class: a class is banded once, its smallest id is compared, and links are given back to
+all members at the end.
 
 Defined results
     * null texts and texts without a whole shingle: no row; an empty table: no rows.
-    * rows sent again (same id) count once; the smallest text in code-point order stands for an id that has several.
+    * rows sent again (same id) count once; of several texts of an id, the one of the smallest hash stands for it.
     * the whole text is compared, whatever its length; ties don't arise (a link is a fact).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -38,14 +39,9 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _second(x: np.ndarray) -> np.ndarray:
-    """The second permutation of the ring: a bijection of 32-bit numbers, in place."""
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x
+#: Odd multipliers of the second permutation, x -> ((x * A) ^ (x * A >> 16)) * B, a bijection of 32-bit numbers.
+_SHIFT = np.uint32(16)
+_A, _B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
 class Shingler:
@@ -58,13 +54,15 @@ class Shingler:
     def runs(self, texts: list[str]) -> list[np.ndarray]:
         """64-bit shingle hashes of each text, in order, with repeats; a whole list is hashed at once."""
         ids, lists = self._ids, [_WORD.findall(t.lower()) for t in texts]
+        flat = list(itertools.chain.from_iterable(lists))
         if len(ids) > 2_000_000:
             ids.clear()
-        for words in lists:
-            for w in set(words).difference(ids):
+        try:
+            h = np.fromiter(map(ids.__getitem__, flat), np.uint64, len(flat))
+        except KeyError:
+            for w in set(flat).difference(ids):
                 ids[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        flat = [w for words in lists for w in words]
-        h = np.fromiter(map(ids.__getitem__, flat), np.uint64, len(flat))
+            h = np.fromiter(map(ids.__getitem__, flat), np.uint64, len(flat))
         n = max(0, len(h) - self.width + 1)
         out = np.zeros(n, np.uint64)
         for k in range(self.width):
@@ -80,24 +78,21 @@ class Shingler:
         return np.unique(self.runs([text])[0])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], shingle: Shingler, size: int = 512) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids, shingle runs) of slices of the batches."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0).to_pylist(), shingle.runs(part.column(1).to_pylist())
-
-
-def class_of(shingles: np.ndarray) -> int:
-    """64-bit hash of a set of shingles."""
-    return int.from_bytes(hashlib.blake2b(np.unique(shingles).tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """Circulant MinHash: ``size`` coordinates from two permutations."""
-    ring = (_mix64(shingles + _U(0x5851F42D4C957F2D)) >> _U(32)).astype(np.uint32)
-    shifts = np.arange(1, size + 1, dtype=np.uint32)
-    return np.concatenate([_second(ring[None, :] + part[:, None]).min(axis=1) for part in np.array_split(shifts, max(1, len(ring) * size // 60_000))])
+    ring = (_mix64(shingles + _U(0x5851F42D4C957F2D)) >> _U(32)).astype(np.uint32) * _A
+    shifts = np.arange(1, size + 1, dtype=np.uint32) * _A
+    step = max(1, 16_000 // max(1, len(ring)))
+    out, x, t = np.empty(size, np.uint32), np.empty((step, len(ring)), np.uint32), np.empty((step, len(ring)), np.uint32)
+    for at in range(0, size, step):
+        part = shifts[at : at + step, None]
+        y, z = x[: len(part)], t[: len(part)]
+        np.add(part, ring, out=y)
+        np.right_shift(y, _SHIFT, out=z)
+        np.bitwise_xor(y, z, out=y)
+        np.multiply(y, _B, out=y)
+        np.min(y, axis=1, out=out[at : at + step])
+    return out
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -109,36 +104,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _classes(texts: DataFrame, width: int) -> DataFrame:
-    """(id, clase) of every text with a shingle."""
-    schema = pa.schema([("id", pa.int64()), ("clase", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, parts in _parts(batches, Shingler(width)):
-            got = [(i, class_of(s)) for i, s in zip(ids, parts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return texts.mapInArrow(run, "id long, clase long")
-
-
 def _bands(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(banda, clase): the band keys of each class, once for each task that meets it."""
+    """(banda, clase): the band keys of each class of equal texts, once for each task that meets it."""
     schema = pa.schema([("banda", pa.int64()), ("clase", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, parts in _parts(batches, Shingler(width)):
-            keys, classes = [np.empty(0, np.int64)], []
-            for s in parts:
-                if len(s) and (c := class_of(s)) not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(c)
-                    keys.append(band_keys(signature(s, bands * rows), bands, rows))
-                    classes.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), bands))], schema=schema)
-
-    return texts.mapInArrow(run, "banda long, clase long")
+        shingle = Shingler(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new = {c: t for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if c not in seen}
+                seen.update(new)
+                keys, classes = [np.empty(0, np.int64)], []
+                for c, s in zip(new, shingle.runs(list(new.values()))):
+                    if len(s):
+                        keys.append(band_keys(signature(s, bands * rows), bands, rows))
+                        classes.append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), bands))], schema=schema)
+
+    return texts.select("clase", "t").mapInArrow(run, "banda long, clase long")
 
 
 def _verify(pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -173,11 +160,13 @@ def _verify(pairs: DataFrame, width: int, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, clase_id) of every record with a shingle, and (a, b, similitud) between classes, a < b.
 
-    A class's id is its smallest member; classes are told apart by a 64-bit hash of the whole shingle set. Nothing is collected, no partner is capped: a crowded band is an ordinary
+    A class's id is its smallest member; classes are told apart by a 64-bit hash of the whole text. Nothing is collected, no partner is capped: a crowded band is an ordinary
     skewed join key, which adaptive execution splits, and copies never enter it more than once.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    firsts = _classes(texts, width).groupBy("id").agg(F.min("clase").alias("clase"))
+    enough = r"([\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (width - 1)
+    texts = texts.where(F.col("t").rlike(enough)).withColumn("clase", F.xxhash64("t"))
+    firsts = texts.groupBy("id").agg(F.min("clase").alias("clase"))
     reps = firsts.groupBy("clase").agg(F.min("id").alias("clase_id"))
     members = cut_lineage(firsts.join(reps, "clase").select("id", "clase", "clase_id"))
     reps = members.where("id = clase_id").select("clase", "clase_id")
@@ -188,7 +177,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, t
     pairs = pairs.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
     pairs = cut_lineage(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("t", "clase").alias("t"))
     left = needed.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = needed.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     links = _verify(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), width, threshold)

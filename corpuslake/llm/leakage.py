@@ -30,14 +30,23 @@ BUDGET = 1
 ITEM_BLOCK = 5000
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+#: Characters that have no accent to remove.
+_PLAIN = re.compile(r"[\x00-\x7fºª°«»“”‘’–—…·•¿¡§©›→]*")
 _U = np.uint64
 
 
-def words(text: str) -> list[str]:
+def fold(text: str) -> str:
+    """Lower case without accents; the common letters by plain replacement, which is ten times faster."""
     text = text.lower()
-    if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
-    return _WORD.findall(text)
+    if text.isascii():
+        return text
+    for accented, plain in zip("áéíóúñü", "aeiounu"):
+        text = text.replace(accented, plain)
+    return text if _PLAIN.fullmatch(text) else _MARKS.sub("", unicodedata.normalize("NFD", text))
+
+
+def words(text: str) -> list[str]:
+    return _WORD.findall(fold(text))
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -152,13 +161,25 @@ class Index:
     def _near(self, e: int, p: int, s: int, n: int, ws: list[str], vals: list[int]) -> int | None:
         """Least distance, within the budget, of a window that holds the run of ``n`` words at ``s``; None if none is."""
         _, _, iws, own = self.entries[e]
-        k = self.budget
-        if k == 1 and n < self.min_words - 2:
-            # one edit spoils one word, parts it or joins two: beyond it the words must go on
-            steps = ((1, 1), (1, 2), (2, 1))
-            on = any(s + n + i < len(own) and p + n + j < len(vals) and own[s + n + i] == vals[p + n + j] for i, j in steps)
-            if not on and not any(s > i and p > j and own[s - 1 - i] == vals[p - 1 - j] for i, j in steps):
-                return None
+        k, size = self.budget, self.min_words
+        if k == 1:
+            # one edit spoils a word, parts it or joins two; beyond it the words must go on to the window's end
+            for i, j in ((1, 1), (1, 2), (2, 1)):
+                a, b, m = s + n + i, p + n + j, n + i
+                while m < size and a < len(own) and b < len(vals) and own[a] == vals[b]:
+                    a, b, m = a + 1, b + 1, m + 1
+                if m >= size and s + size <= len(own):
+                    got = myers(" ".join(iws[s : s + size]), " ".join(ws[p : p + size + 1]), k)
+                    if got <= k:
+                        return got
+                a, b, m = s - 1 - i, p - 1 - j, n + i
+                while m < size and a >= 0 and b >= 0 and own[a] == vals[b]:
+                    a, b, m = a - 1, b - 1, m + 1
+                if m >= size and s + n >= size:
+                    got = myers(" ".join(iws[s + n - size : s + n]), " ".join(ws[max(0, p + n - size - 1) : p + n]), k)
+                    if got <= k:
+                        return got
+            return None
         for start in range(max(0, s + n - self.min_words), min(s, len(iws) - self.min_words) + 1):
             window = iws[start : start + self.min_words]
             lo = max(0, p - (s - start) - k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +15,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Rows of a table that may be used to fit a model; everything else reads every row.
 SAMPLE_ROWS = 6000
 _BUCKETS = 1 << 30
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+#: Characters that have no accent to remove.
+_PLAIN = re.compile(r"[\x00-\x7fºª°«»“”‘’–—…·•¿¡§©›→]*")
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:
@@ -37,17 +43,21 @@ def text_of(tabla: str, value: str) -> str | None:
     if tabla != "chunks":
         return value
     try:
-        data = json_loads(value)
+        data = json.loads(value)
     except ValueError:
         return None
     text = data.get("texto") if isinstance(data, dict) else None
     return text if isinstance(text, str) else None
 
 
-def json_loads(value: str):
-    import json
-
-    return json.loads(value)
+def fold(text: str) -> str:
+    """Lower case without accents; the common letters by plain replacement, which is ten times faster."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    for accented, plain in zip("áéíóúñü", "aeiounu"):
+        text = text.replace(accented, plain)
+    return text if _PLAIN.fullmatch(text) else _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def sample_rows(df: DataFrame, key: str, value: str, rows: int = SAMPLE_ROWS, seed: str = "m") -> list:
@@ -84,13 +94,6 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def md5_key(column: Column | str) -> Column:
-    return F.md5(column)
-
-
-EMPTY_STRING = StructType([StructField("value", StringType())])
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
     sc = df.sparkSession.sparkContext

@@ -16,7 +16,6 @@ Defined results
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,26 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import fold
+
 MIN_WORDS = 13
 BUDGET = 1
 ITEM_BLOCK = 5000
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
-#: Characters that have no accent to remove.
-_PLAIN = re.compile(r"[\x00-\x7fºª°«»“”‘’–—…·•¿¡§©›→]*")
 _U = np.uint64
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; the common letters by plain replacement, which is ten times faster."""
-    text = text.lower()
-    if text.isascii():
-        return text
-    for accented, plain in zip("áéíóúñü", "aeiounu"):
-        text = text.replace(accented, plain)
-    return text if _PLAIN.fullmatch(text) else _MARKS.sub("", unicodedata.normalize("NFD", text))
-
-
 def words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 

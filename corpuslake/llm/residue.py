@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_arrow, sample_rows
+from .base import fold, map_arrow, sample_rows
 
 #: Records shorter than this may be nothing but residue; sentences of longer ones are taken as content when the model is fitted.
 SHORT = 700
@@ -32,12 +31,12 @@ SHORT = 700
 DOCS_SAMPLE = 8000
 # Shapes of slots that are trusted without more evidence.
 TRUSTED_SLOT = re.compile(r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|@@[^@\n]+@@|<<[^<>\n]+>>|%[A-ZÑ]+(?:_[A-ZÑ]+)+%|__[a-zñ]+(?:_[a-zñ]+)*__|(?<!_)_{2,}/_{2,}|\[(?:INSERT|COMPLET|INDI[CQ])\w* [^\]\n]*\]|(?:No\. )?X{2,}(?:\.X{2,})+|X{5,}|_{4,}|\.{8,}")
-# Wordings of error pages, filler and script notices that are trusted without more evidence.
+# Wordings of error pages, filler and script notices that are trusted without more evidence; folded, numbers as 9.
 TRUSTED_LINE = re.compile(
-    r"\blorem\b.*\bipsum\b|\bipsum\b.*\blorem\b|HTTP [45]\d\d\b|\bError [45]\d\d\b|^ERROR \w+:|p[aá]gina n[aã]o encontrada|page demand[eé]e est introuvable|"
+    r"\blorem\b.*\bipsum\b|\bipsum\b.*\blorem\b|HTTP 9\b|\berror 9\b|^error \w+:|pagina nao encontrada|page demandee est introuvable|"
     r"could not be found on this server|enable JavaScript|activer JavaScript|requiere JavaScript|noscript|java\.lang\.|failed to open stream|"
-    r"^(?:asdf ?){2,}|^(?:xxxxx ?){2,}|texto de prueba\. |aqu[ií] va el texto|p[aá]gina en construcci[oó]n|contenido pendiente de cargue|"
-    r"documento en blanco dejado|no admite scripts|se necesitan scripts|ejecuci[oó]n de (?:c[oó]digo|scripts)",
+    r"^(?:asdf ?){2,}|^(?:xxxxx ?){2,}|texto de prueba\. |aqui va el texto|pagina en construccion|contenido pendiente de cargue|"
+    r"documento en blanco dejado|no admite scripts|se necesitan scripts|ejecucion de (?:codigo|scripts)",
     re.I,
 )
 _SPOT = re.compile(
@@ -45,7 +44,9 @@ _SPOT = re.compile(
     r"\[[^\[\]\n]{1,60}\]|«[^«»\n]{1,60}»|__\w(?:[^_\n]|_(?!_)){0,60}__|_{2,}(?:/_{2,}(?:/\d{0,4}_*)?)?|\.{5,}|…{2,}|(?<!\w)(?:No\. )?X{2,}(?:[.\-/]X+)*(?!\w)"
 )
 _SENTENCE = re.compile(r"(?<=[.!?:;…])\s+|\n+")
-_WORDS = re.compile(r"[a-z]+|\d+|[^\w\s]")
+_NUMBER = re.compile(r"\d+")
+_WORDS = re.compile(r"[a-z]+|9|[^\w\s]")
+_MAY_SPOT = re.compile(r"[{<&@%#\[«_]|\.{5}|……|XX")
 _LATIN = "lorem ipsum dolor amet consectetur adipiscing elit sed tempor incididunt labore magna aliqua enim minim veniam quis nostrud"
 # Words before a spot that is spoken of, not left open.
 _MENTION = ("campo", "casilla", "mensaje", "clausula", "clave", "palabra", "expresion", "rotulo", "boton", "minuta", "clic", "busqueda")
@@ -53,17 +54,15 @@ _CONTENT = frozenset(("long=True", "s=digits", *(f"m={w}" for w in _MENTION)))
 _PAIRS = ("{{", "${", "{", "<<", "&lt;", "<", "@@", "%", "#", "[", "«", "__", "_", ".", "…", "X", "No. X")
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not "̀" <= c <= "ͯ")
-
-
 def sentences(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+    """Sentences of a folded text, numbers as one digit."""
+    return [s for s in (x.strip() for x in _SENTENCE.split(_NUMBER.sub("9", text))) if s]
 
 
-def sentence_features(s: str) -> list[str]:
-    ws = ["9" if w.isdigit() else w for w in _WORDS.findall(fold(s))][:400]
-    return [*dict.fromkeys(ws), *dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:]))]
+def sentence_features(s: str) -> list[str | tuple[str, str]]:
+    """Distinct words, and distinct pairs of neighbours."""
+    ws = _WORDS.findall(s)
+    return [*set(ws), *set(zip(ws, ws[1:]))]
 
 
 def _shape(inner: str) -> str:
@@ -77,7 +76,7 @@ def _shape(inner: str) -> str:
 def spots(text: str) -> list[tuple[str, list[str], bool]]:
     """(span, features, trusted) of every marked spot of a text."""
     out = []
-    for m in _SPOT.finditer(text):
+    for m in _SPOT.finditer(text) if _MAY_SPOT.search(text) else ():
         span = m.group()
         pair = next((p for p in _PAIRS if span.startswith(p)), "?")
         inner = span.strip("{}$<>@%#[]«»_.…").removeprefix("&lt;").removesuffix("&gt;")
@@ -98,17 +97,17 @@ class PuBayes:
     """Multinomial naive Bayes with fixed positives; unlabelled passages start as negatives and are re-weighted."""
 
     def __init__(self) -> None:
-        self.logit: dict[str, float] = {}
+        self.logit: dict[object, float] = {}
         self.prior = -math.inf
 
-    def fit(self, passages: list[list[str]], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: float = 0.0) -> None:
+    def fit(self, passages: list[list], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: float = 0.0) -> None:
         """``ruled_out``: unlabelled passages that are known to be content; features of fewer than ``least`` passages don't
         count; ``start``: the weight as a positive that an unlabelled passage has in the first round."""
         if not any(trusted):
             return
         df = Counter(f for p in passages for f in set(p))
         passages = [[f for f in p if df[f] >= least] for p in passages]
-        ids: dict[str, int] = {}
+        ids: dict[object, int] = {}
         flat = np.array([ids.setdefault(f, len(ids)) for p in passages for f in p], np.int64)
         lens = np.array([len(p) for p in passages])
         row = np.repeat(np.arange(len(passages)), lens)
@@ -125,9 +124,9 @@ class PuBayes:
         self.logit = {f: float(w[i]) for f, i in ids.items()}
         self.prior = prior
 
-    def score(self, feats: list[str]) -> float:
+    def score(self, feats: list) -> float:
         get = self.logit.get
-        return self.prior + sum(get(f, 0.0) for f in feats)
+        return self.prior + sum([get(f, 0.0) for f in feats])
 
 
 class Residue:
@@ -149,7 +148,7 @@ class Residue:
         """(slots, share of the letters that stand in residue sentences)."""
         slots = sum(trusted or self.slots.score(feats) > 0 for _, feats, trusted in spots(text))
         bad = total = 0
-        for s in sentences(text):
+        for s in sentences(fold(text)):
             total += len(s)
             bad += len(s) if self._bad_sentence(s) else 0
         return slots, bad / total if total else 0.0
@@ -157,17 +156,17 @@ class Residue:
 
 def fit(texts: Iterable[str]) -> Residue:
     model = Residue()
-    lines: list[list[str]] = []
+    lines: list[list] = []
     line_trust: list[bool] = []
     line_out: list[bool] = []
     marks: list[list[str]] = []
     mark_trust: list[bool] = []
     latin = set(_LATIN.split())
     for text in texts:
-        own = sentences(text)
+        own = sentences(fold(text))
         short = sum(map(len, own)) < SHORT
         for s in own:
-            ws = fold(s).split()
+            ws = s.split()
             lines.append(sentence_features(s))
             filler = len(ws) > 3 and sum(w.strip(".,") in latin for w in ws) > 0.5 * len(ws)
             line_trust.append(filler or (short and bool(TRUSTED_LINE.search(s))))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -100,28 +100,31 @@ class PuBayes:
         self.logit: dict[object, float] = {}
         self.prior = -math.inf
 
-    def fit(self, passages: list[list], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: float = 0.0) -> None:
+    def fit(self, passages: Iterable[list], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: float = 0.0) -> None:
         """``ruled_out``: unlabelled passages that are known to be content; features of fewer than ``least`` passages don't
         count; ``start``: the weight as a positive that an unlabelled passage has in the first round."""
+        ids: dict[object, int] = {}
+        flat_, lens_ = array("i"), array("i")
+        for p in passages:
+            flat_.extend([ids.setdefault(f, len(ids)) for f in p])
+            lens_.append(len(p))
         if not any(trusted):
             return
-        df = Counter(f for p in passages for f in set(p))
-        passages = [[f for f in p if df[f] >= least] for p in passages]
-        ids: dict[object, int] = {}
-        flat = np.array([ids.setdefault(f, len(ids)) for p in passages for f in p], np.int64)
-        lens = np.array([len(p) for p in passages])
-        row = np.repeat(np.arange(len(passages)), lens)
+        flat, row = np.frombuffer(flat_, np.int32), np.repeat(np.arange(len(lens_)), np.frombuffer(lens_, np.int32))
+        kept = np.bincount(flat, minlength=len(ids)) >= least
+        flat, row = flat[kept[flat]], row[kept[flat]]
         fixed, out = np.array(trusted), np.array(ruled_out) & ~np.array(trusted)
         q = np.where(fixed, 1.0, np.where(out, 0.0, start))
         v = len(ids)
         for _ in range(rounds):
-            pos = np.bincount(flat, q[row], v) + alpha
-            neg = np.bincount(flat, 1.0 - q[row], v) + alpha
-            w = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+            pos = np.where(kept, np.bincount(flat, q[row], v) + alpha, 0)
+            neg = np.where(kept, np.bincount(flat, 1.0 - q[row], v) + alpha, 0)
+            w = np.zeros(v)
+            w[kept] = np.log(pos[kept] / pos.sum()) - np.log(neg[kept] / neg.sum())
             prior = math.log((q.sum() + 1) / (len(q) - q.sum() + 1))
-            odds = np.bincount(row, w[flat], len(passages)) + prior
+            odds = np.bincount(row, w[flat], len(q)) + prior
             q = np.where(fixed, 1.0, np.where(out, 0.0, 1.0 / (1.0 + np.exp(-np.clip(odds, -40, 40)))))
-        self.logit = {f: float(w[i]) for f, i in ids.items()}
+        self.logit = {f: float(w[i]) for f, i in ids.items() if kept[i]}
         self.prior = prior
 
     def score(self, feats: list) -> float:
@@ -156,7 +159,7 @@ class Residue:
 
 def fit(texts: Iterable[str]) -> Residue:
     model = Residue()
-    lines: list[list] = []
+    lines: list[str] = []
     line_trust: list[bool] = []
     line_out: list[bool] = []
     marks: list[list[str]] = []
@@ -167,14 +170,14 @@ def fit(texts: Iterable[str]) -> Residue:
         short = sum(map(len, own)) < SHORT
         for s in own:
             ws = s.split()
-            lines.append(sentence_features(s))
+            lines.append(s)
             filler = len(ws) > 3 and sum(w.strip(".,") in latin for w in ws) > 0.5 * len(ws)
             line_trust.append(filler or (short and bool(TRUSTED_LINE.search(s))))
             line_out.append(not short)
         for _, feats, trusted in spots(text):
             marks.append(feats)
             mark_trust.append(trusted)
-    model.lines.fit(lines, line_trust, line_out)
+    model.lines.fit(map(sentence_features, lines), line_trust, line_out)
     model.slots.fit(marks, mark_trust, [bool(_CONTENT.intersection(m)) for m in marks], start=0.7)
     return model
 

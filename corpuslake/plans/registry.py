@@ -1,9 +1,18 @@
 """Queries of the engine over the parquet tables of a directory, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from . import corpus, manifests, scoring, search  # noqa: F401  (they register their queries)
+from .common import SQL, Q
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

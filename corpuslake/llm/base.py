@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from ..session import cut_lineage  # noqa: F401
 
 #: Rows of a table that may be used to fit a model; everything else reads every row.
 SAMPLE_ROWS = 6000
@@ -92,16 +94,3 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="corpuslake-checkpoint-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import plain_union
-from ..sources.tables import lookup
+from ..sources.tables import is_small
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -27,7 +27,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(id, term, dl, tf). With ``only`` (term), other terms leave before anything is shuffled."""
     flat = docs.select("id", "dl", F.explode("toks").alias("term"))
     if only is not None:
-        flat = flat.join(lookup(only), "term", "left_semi")
+        flat = flat.join(only, "term", "left_semi")
     return flat.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -38,12 +38,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the best ``k`` documents of each query (qid, text); repeated query words weigh again."""
     terms = queries.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    hits = postings(docs, terms.select("term").distinct())
+    small = F.broadcast if is_small(terms) else (lambda x: x)  # frequencies have no more rows than the query terms
+    hits = postings(docs, small(terms.select("term").distinct()))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(lookup(terms), "term").join(lookup(df), "term").crossJoin(F.broadcast(stats))  # stats: one row
+    scored = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(stats))  # stats: one row
     sums = scored.groupBy("qid", "id").agg(F.round(F.sum(weight), 5).alias("score")).where("score > 0")
     return ranked(sums, ["qid"], [F.col("score").desc(), F.col("id")], k)
 

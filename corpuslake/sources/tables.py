@@ -48,9 +48,13 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return latest(table(spark, sf, "descargas"), ["doc_id"], "recibido_en")
 
 
+def is_small(df: DataFrame, rows: int = LOOKUP_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

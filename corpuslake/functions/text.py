@@ -116,16 +116,25 @@ def expand_acronyms(x: Column | str, names: dict[str, str]) -> Column:
     return y
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def first_match(x: Column | str, rules: list[tuple[str, str]], default: str) -> Column:
     """Label of the first pattern that occurs in the folded text."""
-    y, out = fold(x), None
-    for label, pattern in rules:
-        out = F.when(y.rlike(pattern), label) if out is None else out.when(y.rlike(pattern), label)
-    return out.otherwise(default)
+
+    def of(y: Column) -> Column:
+        out = F.when(y.rlike(rules[0][1]), rules[0][0])
+        for label, pattern in rules[1:]:
+            out = out.when(y.rlike(pattern), label)
+        return out.otherwise(default)
+
+    return _bound(fold(x), of)
 
 
 def labels(x: Column | str, rules: list[tuple[str, str]], default: str) -> Column:
     """Sorted labels of all patterns that occur in the folded text."""
-    y = fold(x)
-    got = F.array_sort(F.filter(F.array(*[F.when(y.rlike(p), F.lit(label)) for label, p in rules]), lambda v: v.isNotNull()))
+    every = _bound(fold(x), lambda y: F.array(*[F.when(y.rlike(p), F.lit(label)) for label, p in rules]))
+    got = F.array_sort(F.array_compact(every))
     return F.when(F.size(got) == 0, F.array(F.lit(default))).otherwise(got)

@@ -101,19 +101,19 @@ def leaderboard(spark, sf):
     return S.ranked(a, ["qid"], [F.col("media").desc(), F.col("brazo")], None, "puesto").select("brazo", "qid", "n", "puesto")
 
 
-_TOP = "o AS (SELECT pregunta_id AS qid, id, score, row_number() OVER (PARTITION BY pregunta_id ORDER BY score DESC, id, pasaje_id) AS a, row_number() OVER (PARTITION BY pregunta_id ORDER BY round(score, 2) DESC, id, pasaje_id) AS b FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL)"
+_TOP = "o AS (SELECT pregunta_id AS qid, id, score, row_number() OVER (PARTITION BY pregunta_id ORDER BY score DESC, id, pasaje_id) AS a, row_number() OVER (PARTITION BY pregunta_id ORDER BY floor(score * 10) DESC, id, pasaje_id) AS b FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL)"
 
 
 @query(f"WITH {PA}, {_TOP}, x AS (SELECT qid, list(id ORDER BY a) AS l FROM o WHERE a <= 10 GROUP BY qid), y AS (SELECT qid, list(id ORDER BY b) AS l FROM o WHERE b <= 10 GROUP BY qid) SELECT qid, x.l = y.l AS igual, list_sort(x.l) = list_sort(y.l) AS mismos, CAST(len(list_intersect(x.l, y.l)) AS INTEGER) AS comunes FROM x JOIN y USING (qid)")
 def golden_compare(spark, sf):
-    """Two runs compared in order, as sets, and by overlap (the second run's scores are rounded)."""
+    """Two runs compared in order, as sets, and by overlap (the second run's scores are coarse)."""
     rows = passages(spark, sf).where("score is not null and not isnan(score) and pregunta_id is not null").select(F.col("pregunta_id").alias("qid"), "id", "pasaje_id", "score")
 
     def run(score, name):
         top = S.ranked(rows, ["qid"], [score.desc(), F.col("id"), F.col("pasaje_id")], 10, "r")
         return top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda v: v["id"]).alias(name))
 
-    got = run(F.col("score"), "x").join(run(F.round("score", 2), "y"), "qid")
+    got = run(F.col("score"), "x").join(run(F.floor(F.col("score") * 10), "y"), "qid")
     return got.select("qid", (F.col("x") == F.col("y")).alias("igual"), (F.array_sort("x") == F.array_sort("y")).alias("mismos"), F.size(F.array_intersect("x", "y")).alias("comunes"))
 
 
@@ -129,7 +129,8 @@ _OPT = rf"""b AS (SELECT pregunta_id AS id, texto FROM (SELECT *, row_number() O
     el AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY apoyo DESC, letra) AS n FROM ap) WHERE n = 1)"""
 
 
-def _choice(spark, sf):
+def _support(spark, sf):
+    """(id, letra, apoyo): words of each option that the question's best passage holds."""
     rows = passages(spark, sf).where("score is not null and not isnan(score) and texto is not null and pregunta_id is not null")
     best = S.ranked(rows.select("pregunta_id", "id", "pasaje_id", "score"), ["pregunta_id"], [F.col("score").desc(), F.col("id"), F.col("pasaje_id")], 1)
     top = best.join(rows.select("pasaje_id", "texto"), "pasaje_id").select(F.col("pregunta_id").alias("id"), "texto")
@@ -137,8 +138,11 @@ def _choice(spark, sf):
     all_words = lambda c: F.regexp_extract_all(T.fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     w = F.array_distinct(F.filter(all_words("opcion"), lambda v: F.length(v) > 3))
     got = o.join(top, "id", "left").select("id", "letra", w.alias("w"), all_words(F.coalesce("texto", F.lit(""))).alias("t"))
-    got = got.select("id", "letra", F.when(F.size("w") == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect("w", "t")) / F.size("w"), 6)).alias("apoyo"))
-    return S.ranked(got, ["id"], [F.col("apoyo").desc(), F.col("letra")], 1, "n")
+    return got.select("id", "letra", F.when(F.size("w") == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect("w", "t")) / F.size("w"), 6)).alias("apoyo"))
+
+
+def _choice(spark, sf):
+    return S.ranked(_support(spark, sf), ["id"], [F.col("apoyo").desc(), F.col("letra")], 1, "n")
 
 
 @query(f"WITH {PA}, {_OPT} SELECT id, letra, apoyo FROM el")

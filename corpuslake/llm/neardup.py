@@ -176,7 +176,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, t
     ends = reps.select(F.col("clase").alias("x"), F.col("clase_id").alias("p"))
     pairs = pairs.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
     pairs = cut_lineage(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("t", "clase").alias("t"))
     left = needed.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = needed.select(F.col("id").alias("b"), F.col("t").alias("tb"))
@@ -204,8 +204,8 @@ def found(pasajes: DataFrame) -> DataFrame:
 def components(members: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, grupo): the smallest id that links reach, for every record; labels spread and jump until none changes."""
     nodes = members.select(F.col("clase_id").alias("n")).distinct()
-    edges = links.select("a", "b").union(links.select("b", "a")).toDF("n", "m").distinct()
-    edges = cut_lineage(edges)
+    both_ways = F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m"))))
+    edges = cut_lineage(links.select(both_ways.alias("e")).select("e.n", "e.m").distinct())
     label = cut_lineage(nodes.join(edges.select("n").distinct(), "n", "left_semi").select("n", F.col("n").alias("g")))
     for _ in range(most_rounds):
         near = edges.join(label.select(F.col("n").alias("m"), F.col("g").alias("h")), "m").groupBy("n").agg(F.min("h").alias("h"))

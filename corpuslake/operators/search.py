@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import plain_union
-from ..sources.tables import is_small
+from ..sources.tables import is_small, write_index
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -35,13 +35,14 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the best ``k`` documents of each query (qid, text); repeated query words weigh again."""
-    terms = queries.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    small = F.broadcast if is_small(terms) else (lambda x: x)  # frequencies have no more rows than the query terms
-    hits = postings(docs, small(terms.select("term").distinct()))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qtf) of queries (qid, text); repeated query words weigh again."""
+    return queries.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_scores(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int, small=F.broadcast) -> DataFrame:
+    """(qid, id, score, rank) from query terms, their postings and one row of statistics (n, avgdl)."""
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both uses share an exchange
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(stats))  # stats: one row
@@ -49,6 +50,52 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(sums, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
+def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` documents of each query (qid, text)."""
+    terms = query_terms(queries)
+    small = F.broadcast if is_small(terms) else (lambda x: x)  # frequencies have no more rows than the query terms
+    return bm25_scores(terms, postings(docs, small(terms.select("term").distinct())), corpus_stats(docs), k, small)
+
+
+#: How tokens are made; stored with an index, and compared when it is opened.
+TOKENS_AS = "fold,thousands,split-digits,no-stem"
+
+
+def build_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings hashed and sorted by term, and the corpus statistics, as tables under ``path``."""
+    write_index(postings(docs), f"{path}/postings", "term", buckets)
+    corpus_stats(docs).withColumn("tokens_as", F.lit(TOKENS_AS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def append_to_index(docs: DataFrame, path: str, out: str, buckets: int = 64) -> None:
+    """A new index with the documents that the old one lacks; statistics are added, nothing is tokenised again."""
+    spark = docs.sparkSession
+    old, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats").first()
+    new = docs.join(old.select("id").distinct(), "id", "left_anti")
+    write_index(old.unionByName(postings(new)), f"{out}/postings", "term", buckets)
+    more = corpus_stats(new).first()
+    n = stats.n + more.n
+    total = stats.n * (stats.avgdl or 0.0) + more.n * (more.avgdl or 0.0)
+    row = spark.createDataFrame([(n, total / n if n else None, TOKENS_AS)], "n long, avgdl double, tokens_as string")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{out}/stats")
+
+
+def search_index(queries: DataFrame, path: str, k: int) -> DataFrame:
+    """BM25 on a stored index; only row groups that hold query terms are read when the terms are few."""
+    spark = queries.sparkSession
+    stats = spark.read.parquet(f"{path}/stats")
+    if stats.first().tokens_as != TOKENS_AS:
+        raise ValueError("the index was built with other tokens")
+    terms = query_terms(queries)
+    few = terms.select("term").distinct().limit(2001).collect()
+    hits = spark.read.parquet(f"{path}/postings")
+    if len(few) <= 2000:
+        hits = hits.where(F.col("term").isin([r.term for r in few]))
+        return bm25_scores(terms, hits, stats.select("n", "avgdl"), k)
+    hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    return bm25_scores(terms, hits, stats.select("n", "avgdl"), k, lambda x: x)
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, rank: str = "rank") -> DataFrame:
     out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out.where(F.col(rank) <= k) if k else out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..session import plain_union
 from ..sources.tables import chunks, latest, manifest, table
 from ..streaming import windows
 from .common import CH, MA, j, query
@@ -33,7 +34,7 @@ def resume_antijoin(spark, sf):
     """Documents that a run still has to fetch."""
     m = manifest(spark, sf)
     done = m.where("estado in ('ok', 'duplicado')").select("doc_id")
-    return chunks(spark, sf).select("doc_id").union(m.select("doc_id")).distinct().join(done, "doc_id", "left_anti")
+    return plain_union(spark, chunks(spark, sf).select("doc_id"), m.select("doc_id")).distinct().join(done, "doc_id", "left_anti")
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import search as S
 from ..operators import vectors as V
-from ..session import plain_union
-from ..sources.tables import chunks, passages, table
+from ..session import cut_lineage, plain_union
+from ..sources.tables import chunks, lookup, passages, table
 from .common import CH, PA, j, query, tokens
 
 _D = f"d AS (SELECT chunk_id AS id, {tokens(j('texto'))} AS toks FROM ch WHERE {j('texto')} IS NOT NULL)"
@@ -70,8 +70,16 @@ def bm25_norms_top10(spark, sf):
 )
 def rrf_fusion(spark, sf):
     """Two lists fused by reciprocal rank, cut to the candidate pool."""
-    asks = _questions(spark, sf)
-    return S.rrf([S.bm25(asks, _corpus(spark, sf), 100), S.bm25(asks, _corpus(spark, sf, norms=True), 50)]).where("rank <= 150")
+    rows = chunks(spark, sf, "texto", "tipo_documento").where("texto is not null")
+    docs = rows.select(F.col("chunk_id").alias("id"), T.tokens("texto").alias("toks"), (F.coalesce("tipo_documento", F.lit("")) != "sentencia").alias("norma")).withColumn("dl", F.size("toks"))
+    terms = S.query_terms(_questions(spark, sf))
+    # both lists come from one pass over the texts: only the postings of query words are kept
+    flat = docs.select("id", "dl", "norma", F.explode("toks").alias("term")).join(lookup(terms.select("term").distinct()), "term", "left_semi")
+    hits = cut_lineage(flat.groupBy("id", "term", "dl", "norma").agg(F.count("*").alias("tf")))
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.count_if("norma").alias("nn"), F.avg(F.when(F.col("norma"), F.col("dl"))).alias("navgdl"))
+    every = S.bm25_scores(terms, hits, stats.select("n", "avgdl"), 100)
+    norms = S.bm25_scores(terms, hits.where("norma"), stats.select(F.col("nn").alias("n"), F.col("navgdl").alias("avgdl")), 50)
+    return S.rrf([every, norms]).where("rank <= 150")
 
 
 @query(f"WITH {PA} SELECT pasaje_id, round(score / max(score) OVER (PARTITION BY pregunta_id), 6) AS relativo FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL")

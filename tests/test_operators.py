@@ -64,6 +64,19 @@ def test_bm25_by_hand(spark):
     assert got[0].score == pytest.approx(score(2, 2, 3) + score(1, 1, 3), abs=1e-5)
 
 
+def test_stored_index(spark, tmp_path):
+    rows = [(f"c{i}", f"ley {i % 7} dos {'tres ' * (i % 5)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_id string, texto string")
+    asks = spark.createDataFrame([(1, "ley 3 tres"), (2, "nada")], "qid long, text string")
+    S.build_index(S.documents(df.limit(25)), str(tmp_path / "a"), 4)
+    S.append_to_index(S.documents(df), str(tmp_path / "a"), str(tmp_path / "b"), 4)
+    got = [tuple(r) for r in S.search_index(asks, str(tmp_path / "b"), 20).orderBy("qid", "rank").collect()]
+    assert got and got == [tuple(r) for r in S.bm25(asks, S.documents(df), 20).orderBy("qid", "rank").collect()]
+    spark.createDataFrame([(1, 1.0, "otra")], "n long, avgdl double, tokens_as string").write.mode("overwrite").parquet(str(tmp_path / "b/stats"))
+    with pytest.raises(ValueError):
+        S.search_index(asks, str(tmp_path / "b"), 20)
+
+
 def test_diverse_caps(spark):
     rows = [(1, f"j{i}", f"jur{i}", f"j{i}", True, False, 1.0 - i / 100, [f"s{i}"]) for i in range(8)]
     rows += [(1, f"l{i}", "ley", f"l{i}", False, True, 0.5 - i / 100, [f"t{i}"]) for i in range(5)]

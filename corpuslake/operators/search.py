@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import plain_union
+from ..session import cut_lineage, plain_union
 from ..sources.tables import is_small, write_index
 
 K1, B = 1.2, 0.75
@@ -40,14 +40,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int, small=F.broadcast) -> DataFrame:
-    """(qid, id, score, rank) from query terms, their postings and one row of statistics (n, avgdl)."""
+def bm25_sums(terms: DataFrame, hits: DataFrame, stats: DataFrame, small=F.broadcast) -> DataFrame:
+    """(qid, id, score) of every document that a query reaches, from query terms, their postings and one row of statistics (n, avgdl)."""
     df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both uses share an exchange
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(stats))  # stats: one row
-    sums = scored.groupBy("qid", "id").agg(F.round(F.sum(weight), 5).alias("score")).where("score > 0")
-    return ranked(sums, ["qid"], [F.col("score").desc(), F.col("id")], k)
+    return scored.groupBy("qid", "id").agg(F.round(F.sum(weight), 5).alias("score")).where("score > 0")
+
+
+def bm25_scores(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int, small=F.broadcast) -> DataFrame:
+    """(qid, id, score, rank): the best ``k`` of :func:`bm25_sums`."""
+    return ranked(bm25_sums(terms, hits, stats, small), ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -57,6 +61,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return bm25_scores(terms, postings(docs, small(terms.select("term").distinct())), corpus_stats(docs), k, small)
 
 
+def bm25_within(queries: DataFrame, docs: DataFrame, group: Column, k: int) -> DataFrame:
+    """(qid, doc_id, id, score, n): the best ``k`` of each group that a query reaches; nothing is cut before."""
+    terms = query_terms(queries)
+    small = F.broadcast if is_small(terms) else (lambda x: x)
+    hits = cut_lineage(postings(docs, small(terms.select("term").distinct())))  # used twice, and dear to make
+    sums = bm25_sums(terms, hits, corpus_stats(docs), small)
+    best = ranked(sums.withColumn("doc_id", group), ["qid", "doc_id"], [F.col("score").desc(), F.col("id")], k, "n")
+    return best.select("qid", "doc_id", "id", "score", "n")
+
+
 #: How tokens are made; stored with an index, and compared when it is opened.
 TOKENS_AS = "fold,thousands,split-digits,no-stem"
 

@@ -26,12 +26,19 @@ _ASKB = f"q AS (SELECT id AS qid, unnest({tokens('pregunta')}) AS term FROM preg
 
 @query(f"WITH {CH}, {_ASKB}, {_bm25(_D, 100)}, w AS (SELECT *, row_number() OVER (PARTITION BY qid, split_part(id, '/', 1) ORDER BY score DESC, id) AS n FROM r) SELECT qid, split_part(id, '/', 1) AS doc_id, id, score, CAST(n AS INTEGER) AS n FROM w WHERE n <= 2")
 def within_documents(spark, sf):
-    """The best two chunks inside each document that a query reaches."""
+    """The best two chunks of each document among a question's first 100; :func:`within_every_document` has no such cut."""
     q = table(spark, sf, "preguntas").where("id % 20 = 0 and pregunta is not null").select(F.col("id").alias("qid"), F.col("pregunta").alias("text"))
     hits = S.bm25(q, _corpus(spark, sf), 100).withColumn("doc_id", F.substring_index("id", "/", 1))
     return S.ranked(hits, ["qid", "doc_id"], [F.col("score").desc(), F.col("id")], 2, "n").select("qid", "doc_id", "id", "score", "n")
 
 
+@query(f"WITH {CH}, {_ASKB}, {_bm25(_D, 1)}, w AS (SELECT *, split_part(id, '/', 1) AS doc_id, row_number() OVER (PARTITION BY qid, split_part(id, '/', 1) ORDER BY score DESC, id) AS n FROM sc WHERE score > 0) SELECT qid, doc_id, id, score, CAST(n AS INTEGER) AS n FROM w WHERE n <= 2")
+def within_every_document(spark, sf):
+    """R07, and R05 by words: the best two chunks inside each document that a query reaches, whatever their place in the whole corpus."""
+    q = table(spark, sf, "preguntas").where("id % 20 = 0 and pregunta is not null").select(F.col("id").alias("qid"), F.col("pregunta").alias("text"))
+    return S.bm25_within(q, _corpus(spark, sf), F.substring_index("id", "/", 1), 2)
+
+
 @query(f"WITH {CH}, {PA}, {_REL} SELECT rel.qid, rel.doc, ch.chunk_id FROM rel JOIN ch ON ch.articulo_id = rel.doc")
 def express_citations(spark, sf):
     """All parts of the articles that a question names."""

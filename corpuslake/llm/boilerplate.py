@@ -4,7 +4,8 @@ Method: a linear-chain conditional random field over the blocks of a page (its l
 trained on labelled pages by gradient descent on the exact likelihood (forward-backward), decoded by Viterbi. The
 labelled pages are rows of a bounded sample: lines in the fixed wordings below are site lines, items and teasers of a
 block of links belong to it, the rest is content. The field generalises by word skeletons (consonants only, so garbled
-accents change nothing), shapes, open tags, position and the lines around.
+accents change nothing), shapes, open tags, position and the lines around. Each training page is also shown without
+its wordings, so that a site that words them otherwise is judged by the rest; every page with a line is decoded.
 
 Defined results
     * null or text-less rows: no row; an empty table: no rows; repeated rows: each gives the same answer.
@@ -56,6 +57,8 @@ _ADDRESS = re.compile(r"(?:Carrera|Calle|Avenida) \d+ No\. \S+, .*")
 _BULLET = re.compile(r"^\s*(?:[•→·*]|â€¢|â†’|\?)\s")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
 _VOID = {"br", "hr", "img", "input", "link", "meta"}
+_PARTS = re.compile(r"\s*[|›»/·•→—–]\s+|\s{2,}|\s+[-]\s+")
+_CONTACT = re.compile(r"\S@\S|https?:|www\.|©|\(\d{1,3}\) ?\d{3}")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -117,10 +120,17 @@ def _sure(k: str) -> bool:
     return k in _SURE or k.startswith("site")
 
 
-def page_features(lines: list[str]) -> tuple[list[int], list[list[str]]]:
-    """Indexes of the non-blank lines, and the features of each."""
+def _shape(line: str) -> tuple[int, bool, bool, bool]:
+    """Short parts between separators, running text or not, capitals at most of the parts, and a link or an address."""
+    parts = [p for p in _PARTS.split(line) if p]
+    short = len(parts) > 1 and max(map(len, parts)) < 40
+    return min(4, len(parts)) if short else 0, line[-1:] in ".;:,", all(p[:1].isupper() for p in parts), bool(_CONTACT.search(line))
+
+
+def page_features(lines: list[str], blind: bool = False) -> tuple[list[int], list[list[str]]]:
+    """Indexes of the non-blank lines, and the features of each; ``blind`` sees no wording, only shapes, tags and places."""
     at = [i for i, x in enumerate(lines) if x.strip()]
-    kinds = [kind(lines[i].strip()) for i in at]
+    kinds = ["text" if blind else kind(lines[i].strip()) for i in at]
     stack: list[str] = []
     opened: dict[int, tuple[str, ...]] = {}
     for i, line in enumerate(lines):
@@ -149,12 +159,16 @@ def page_features(lines: list[str]) -> tuple[list[int], list[list[str]]]:
             f"gap={i > 0 and not lines[i - 1].strip()}|{spaced}|{coarse(k)}|{bool(block)}",
             f"pos={'first' if not j else 'last' if j == n - 1 else 'mid'}|{coarse(k)}",
         ]
+        if k == "text" and size < 3:
+            parts, stop, caps, contact = _shape(line)
+            edge = "top" if j < 3 else "end" if j >= n - 4 else "mid"
+            f += [f"p={parts}|{caps}", f"ps={parts}|{stop}|{caps}|{size}", f"pe={parts}|{stop}|{edge}|{size}", f"pc={contact}"]
         if not head_seen and (k == "title" or "›" in line or "[vigencia" in line):
             head_seen = True
             f.append("own")
         if "›" in line or "[vigencia" in line:
             f.append("path")
-        if size < 3:
+        if size < 3 and not blind:
             words = skeleton(line).split()
             f += [f"w={w}" for w in words[:12]] + [f"w1={w}" for w in words[:1]]
         f += [f"t={t}" for t in opened[i]]
@@ -258,10 +272,9 @@ class Crf:
 
     def site_lines(self, text: str) -> list[int]:
         """Indexes of the lines that belong to the site."""
-        lines = text.split("\n")
-        if not any(_sure(kind(x.strip())) for x in lines if len(x) < 260 and x.strip()):
+        at, feats = page_features(text.split("\n"))
+        if not at:
             return []
-        at, feats = page_features(lines)
         return [i for i, y in zip(at, self.decode(feats)) if y]
 
     def main_text(self, text: str) -> str:
@@ -291,6 +304,7 @@ def fit(texts: Iterable[str], plain: int = 600) -> Crf:
                 continue
             others += 1
         pages.append((page_features(lines)[1], labels))
+        pages.append((page_features(lines, blind=True)[1], labels))
     model = Crf()
     if pages:
         model.fit(pages)

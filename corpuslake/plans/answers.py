@@ -106,14 +106,14 @@ def outermost_json(spark, sf):
 
 @query(rf"WITH {CH}, {PA}, t AS (SELECT pasaje_id, {fold('texto')} AS x FROM pa WHERE texto IS NOT NULL), c AS (SELECT DISTINCT pasaje_id, unnest(regexp_extract_all(x, 'articulo (\d+(?:\.\d+)*)', 1)) AS articulo FROM t) SELECT articulo, count(*) AS pasajes FROM c GROUP BY articulo")
 def cited_articles(spark, sf):
-    """Article numbers that passages name, each counted once a passage."""
+    """J02 (single numbers only): article numbers that passages name, each counted once a passage."""
     c = passages(spark, sf).where("texto is not null").select("pasaje_id", F.explode(F.array_distinct(F.regexp_extract_all(T.fold("texto"), F.lit(r"articulo (\d+(?:\.\d+)*)"), F.lit(1)))).alias("articulo"))
     return c.groupBy("articulo").agg(F.count("*").alias("pasajes"))
 
 
 @query("WITH l AS (SELECT id, legal_basis FROM preguntas WHERE legal_basis IS NOT NULL), r AS (SELECT id, split_part(legal_basis, ',', 1) AS cuerpo, regexp_extract(legal_basis, '([0-9.]+)$', 1) AS articulo FROM l) SELECT cuerpo, count(DISTINCT articulo) AS articulos, count(*) AS preguntas, array_to_string(list_sort(list(DISTINCT articulo))[1:3], ', ') AS primeros FROM r GROUP BY cuerpo")
 def consulted_norms(spark, sf):
-    """Bodies consulted, with their first articles in order."""
+    """Bodies that questions rest on, with the number of articles and the first three in order."""
     r = table(spark, sf, "preguntas").where("legal_basis is not null").select(F.substring_index("legal_basis", ",", 1).alias("cuerpo"), F.regexp_extract("legal_basis", "([0-9.]+)$", 1).alias("articulo"))
     firsts = S.ranked(r.distinct(), ["cuerpo"], [F.col("articulo")], 3, "n").groupBy("cuerpo").agg(F.array_join(F.array_sort(F.collect_list("articulo")), ", ").alias("primeros"))
     return r.groupBy("cuerpo").agg(F.count_distinct("articulo").alias("articulos"), F.count("*").alias("preguntas")).join(firsts, "cuerpo")

@@ -47,7 +47,7 @@ def express_citations(spark, sf):
 
 @query(f"WITH {CH}, {PA}, {_REL}, p AS (SELECT pregunta_id AS qid, id, row_number() OVER (PARTITION BY pregunta_id ORDER BY max(score) DESC, id) AS rank FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL GROUP BY pregunta_id, id), f AS (SELECT rel.qid, ch.chunk_id AS id FROM rel JOIN ch ON ch.articulo_id = rel.doc), t AS (SELECT qid, id, 0 AS forzado FROM p WHERE rank <= 150 UNION ALL SELECT qid, id, 1 FROM f) SELECT qid, id, CAST(max(forzado) AS INTEGER) AS forzado FROM t GROUP BY qid, id")
 def candidate_pool(spark, sf):
-    """The first 150 of a question and what is forced in, each once."""
+    """The first 150 of a question and the parts of the articles it names, each once; no leader, fixed or wage slots."""
     rows = passages(spark, sf).where("score is not null and not isnan(score) and pregunta_id is not null")
     best = rows.groupBy(F.col("pregunta_id").alias("qid"), "id").agg(F.max("score").alias("score"))
     pool = S.ranked(best, ["qid"], [F.col("score").desc(), F.col("id")], 150).select("qid", "id", F.lit(0).alias("forzado"))

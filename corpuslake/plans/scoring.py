@@ -41,7 +41,7 @@ def cite_join_nullsafe(spark, sf):
 
 @query(f"WITH {CH}, {_CI}, {_CA} SELECT cuerpo, count(*) AS citas, count(DISTINCT k) AS textos FROM ci WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ci.cuerpo = ca.cuerpo AND ci.numero = ca.numero AND ci.anio = ca.anio) GROUP BY cuerpo")
 def cite_invalid_antijoin(spark, sf):
-    """Citations that name no document of the corpus."""
+    """Citations of norms that name no document of the corpus, counted by body."""
     known = cite.canonical(chunks(spark, sf).select("doc_id")).select("cuerpo", "numero", "anio").distinct()
     return _cites(spark, sf).join(known, ["cuerpo", "numero", "anio"], "left_anti").groupBy("cuerpo").agg(F.count("*").alias("citas"), F.count_distinct("k").alias("textos"))
 
@@ -205,7 +205,7 @@ def question_flags(spark, sf):
 
 @query(rf"WITH {CH}, m AS (SELECT chunk_id, unnest(list_transform(regexp_extract_all({j('texto')}, '\d{{1,3}}(?:\.\d{{3}})+'), lambda v: CAST(replace(v, '.', '') AS BIGINT))) AS monto FROM ch), u AS (SELECT DISTINCT chunk_id, monto FROM m) SELECT chunk_id, monto, count(max_chars) AS umbrales, count(*) FILTER (monto > max_chars * 1000) AS excede FROM u, (SELECT DISTINCT max_chars FROM limites) l GROUP BY chunk_id, monto")
 def amount_thresholds(spark, sf):
-    """Amounts in the texts against every threshold; the thresholds are a handful and travel as one array."""
+    """Numbers in groups of three digits against every threshold; the thresholds are a handful and travel as one array."""
     t = table(spark, sf, "limites").agg(F.collect_set("max_chars").alias("u"))
     rows = chunks(spark, sf, "texto").select("chunk_id", F.explode(T.amounts("texto")).alias("monto")).distinct()
     got = rows.crossJoin(F.broadcast(t))  # one row

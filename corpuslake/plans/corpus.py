@@ -280,7 +280,7 @@ def expand_acronyms(spark, sf):
     SELECT doc_id, articulos, atras, CASE WHEN atras > greatest(1, 0.02 * articulos) THEN 'REVISAR' ELSE 'OK' END AS veredicto FROM r"""
 )
 def audit_verdict(spark, sf):
-    """Documents whose article numbers step back too often."""
+    """M17, backward steps only: documents whose article numbers step back too often; OK says nothing of the other checks."""
     rows = chunks(spark, sf, "inicio", "articulo").where("articulo is not null and inicio is not null")
     rows = rows.withColumn("n", F.element_at(F.regexp_extract_all("articulo", F.lit("[0-9]+"), F.lit(0)), -1).cast("int"))
     rows = with_lag(rows.select("doc_id", "chunk_id", "inicio", "n"), ["doc_id"], ["inicio", "chunk_id"], ["n"])

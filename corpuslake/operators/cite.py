@@ -17,7 +17,8 @@ def full_year(y: Column) -> Column:
 
 
 def extract(texts: DataFrame, key: str, folded: Column) -> DataFrame:
-    """(key, cuerpo, numero, anio): distinct citations of each text. Matches are found once, their parts cut from them."""
+    """(key, cuerpo, numero, anio): distinct citations of each text, by two of J01's four passes: numbered norms and rulings, no
+    aliased law without a year and no code by its name. Matches are found once, their parts cut from them."""
     found = texts.select(key, F.explode(F.concat(F.regexp_extract_all(folded, F.lit(NORM), F.lit(0)), F.regexp_extract_all(folded, F.lit(RULING), F.lit(0)))).alias("m"))
     ruling = F.col("m").startswith("sentencia")
     body = F.when(ruling, "sentencia").otherwise(F.regexp_extract("m", NORM, 1))

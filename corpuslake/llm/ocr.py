@@ -447,7 +447,7 @@ def fit(texts: Iterable[str]) -> Editor:
 
 
 def fit_model(chunks: DataFrame) -> Editor:
-    """Fitted on about ``SAMPLE_ROWS`` records (see :func:`base.sample_rows`)."""
+    """Fitted on about ``SAMPLE_ROWS`` records (see :func:`base.sample_rows`), the lexicon too."""
     return fit(t for t in map(_text, sample_rows(chunks, "chunk_id", "datos", seed="ocr")) if t)
 
 

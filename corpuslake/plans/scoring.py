@@ -223,7 +223,7 @@ def passage_enrich(spark, sf):
 
 @query(rf"WITH {CH}, {PA}, n AS (SELECT pasaje_id, regexp_replace({fold('pa.texto')}, '[^\p{{L}}\p{{N}}]', '', 'g') AS p, regexp_replace({fold(j('texto'))}, '[^\p{{L}}\p{{N}}]', '', 'g') AS c FROM pa JOIN ch ON pa.id = ch.chunk_id WHERE pa.texto IS NOT NULL AND {j('texto')} IS NOT NULL) SELECT pasaje_id, CAST(strpos(c, substr(p, 31, 30)) AS INTEGER) AS lugar, c = p AS entero FROM n WHERE len(p) >= 60")
 def locate_passage(spark, sf):
-    """A passage's probe located in its chunk, in the normalised text."""
+    """T14, and of U01 one probe: characters 31-60 of a passage located in its chunk, in the normalised text."""
     c = chunks(spark, sf, "texto").select("chunk_id", F.col("texto").alias("x"))
     p = passages(spark, sf).where("texto is not null").select("pasaje_id", "id", "texto")
     n = p.join(c, F.col("id") == F.col("chunk_id")).where("x is not null").select("pasaje_id", T.normalized("texto").alias("p"), T.normalized("x").alias("c"))

@@ -2,14 +2,14 @@
 
 Method: a positive-unlabelled naive Bayes classifier, learned by expectation-maximization from trusted error and
 placeholder passages (the fixed shapes below) and all other passages of a bounded sample as unlabelled. Passages are of
-two kinds, each with its own class model: sentences, and marked spots (a bracketed, repeated or blank slot with its
-neighbours). Then passages are scored and a record is decided: one slot is enough; sentences count by their share of
-the record's letters.
+two kinds, each with its own class model: sentences, and marked spots (a bracketed, repeated or blank slot of any
+length, with its neighbours). The fixed shapes only train; every passage is judged by its odds. A record is decided by
+its passages: one slot is enough; sentences count by their share of the record's letters.
 
 Defined results
     * null or blank texts: no row; an empty table: no rows; repeated ids: found if one of their texts is.
     * the whole text is scored; a tie (odds of one, or a share of exactly one half) is no case.
-    * without trusted passages in the sample, only the fixed shapes count.
+    * without trusted passages in the sample there is no class to learn, and nothing is found.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from .base import fold, map_arrow, sample_rows
 SHORT = 700
 #: Documents that may be used to fit the classifier.
 DOCS_SAMPLE = 8000
-# Shapes of slots that are trusted without more evidence.
+# Shapes of slots that are trusted as positives when the classifier is fitted.
 TRUSTED_SLOT = re.compile(r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|@@[^@\n]+@@|<<[^<>\n]+>>|%[A-ZÑ]+(?:_[A-ZÑ]+)+%|__[a-zñ]+(?:_[a-zñ]+)*__|(?<!_)_{2,}/_{2,}|\[(?:INSERT|COMPLET|INDI[CQ])\w* [^\]\n]*\]|(?:No\. )?X{2,}(?:\.X{2,})+|X{5,}|_{4,}|\.{8,}")
-# Wordings of error pages, filler and script notices that are trusted without more evidence; folded, numbers as 9.
+# Wordings of error pages, filler and script notices that are trusted as positives when the classifier is fitted; folded, numbers as 9.
 TRUSTED_LINE = re.compile(
     r"\blorem\b.*\bipsum\b|\bipsum\b.*\blorem\b|HTTP 9\b|\berror 9\b|^error \w+:|pagina nao encontrada|page demandee est introuvable|"
     r"could not be found on this server|enable JavaScript|activer JavaScript|requiere JavaScript|noscript|java\.lang\.|failed to open stream|"
@@ -40,18 +40,17 @@ TRUSTED_LINE = re.compile(
     re.I,
 )
 _SPOT = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\$?\{[^{}\n]{1,60}\}|<<[^<>\n]{1,60}>>|&lt;[^&\n]{1,60}&gt;|<[^<>\n]{1,60}>|@@[^@\n]{1,60}@@|%\w[\w ]{0,60}%|#\w[\w ]{0,60}#|"
-    r"\[[^\[\]\n]{1,60}\]|«[^«»\n]{1,60}»|__\w(?:[^_\n]|_(?!_)){0,60}__|_{2,}(?:/_{2,}(?:/\d{0,4}_*)?)?|\.{5,}|…{2,}|(?<!\w)(?:No\. )?X{2,}(?:[.\-/]X+)*(?!\w)"
+    r"\{\{[^{}\n]+\}\}|\$?\{[^{}\n]+\}|<<[^<>\n]+>>|&lt;(?:(?!&[lg]t;)[^\n])+&gt;|<[^<>\n]+>|@@[^@\n]+@@|%\w[\w ]*%|#\w[\w ]*#|"
+    r"\[[^\[\]\n]+\]|«[^«»\n]+»|\((?=[^()\n]*[^\W\d])[^()\n]+\)|__\w(?:[^_\n]|_(?!_))*__|_{2,}(?:/_{2,}(?:/\d{0,4}_*)?)?|\.{5,}|…{2,}|(?<!\w)(?:No\. )?X{2,}(?:[.\-/]X+)*(?!\w)"
 )
 _SENTENCE = re.compile(r"(?<=[.!?:;…])\s+|\n+")
 _NUMBER = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+|9|[^\w\s]")
-_MAY_SPOT = re.compile(r"[{<&@%#\[«_]|\.{5}|……|XX")
+_MAY_SPOT = re.compile(r"[{<&@%#\[«_(]|\.{5}|……|XX")
 _LATIN = "lorem ipsum dolor amet consectetur adipiscing elit sed tempor incididunt labore magna aliqua enim minim veniam quis nostrud"
 # Words before a spot that is spoken of, not left open.
 _MENTION = ("campo", "casilla", "mensaje", "clausula", "clave", "palabra", "expresion", "rotulo", "boton", "minuta", "clic", "busqueda")
-_CONTENT = frozenset(("long=True", "s=digits", *(f"m={w}" for w in _MENTION)))
-_PAIRS = ("{{", "${", "{", "<<", "&lt;", "<", "@@", "%", "#", "[", "«", "__", "_", ".", "…", "X", "No. X")
+_PAIRS = ("{{", "${", "{", "<<", "&lt;", "<", "@@", "%", "#", "[", "«", "(", "__", "_", ".", "…", "X", "No. X")
 
 
 def sentences(text: str) -> list[str]:
@@ -74,25 +73,36 @@ def _shape(inner: str) -> str:
 
 
 def spots(text: str) -> list[tuple[str, list[str], bool]]:
-    """(span, features, trusted) of every marked spot of a text."""
+    """(span, features, trusted) of every marked spot of a text, however long it is."""
     out = []
     for m in _SPOT.finditer(text) if _MAY_SPOT.search(text) else ():
         span = m.group()
         pair = next((p for p in _PAIRS if span.startswith(p)), "?")
-        inner = span.strip("{}$<>@%#[]«»_.…").removeprefix("&lt;").removesuffix("&gt;")
-        before = re.findall(r"[^\W\d_]+", fold(text[max(0, m.start() - 40) : m.start()]))[-2:]
-        after = re.findall(r"[^\W\d_]+|[^\w\s]", fold(text[m.end() : m.end() + 30]))[:1]
+        inner = span.strip("{}$<>@%#[]«»()_.…").removeprefix("&lt;").removesuffix("&gt;")
+        before = re.findall(r"[^\W\d_]+", fold(" ".join(text[text.rfind("\n", 0, m.start()) + 1 : m.start()].rsplit(None, 3)[-3:])))[-2:]
+        stop = text.find("\n", m.end())
+        after = re.findall(r"[^\W\d_]+|[^\w\s]", fold(" ".join(text[m.end() : stop if stop >= 0 else len(text)].split(None, 1)[:1])))[:1]
         inner_words = re.findall(r"[a-z0-9]+", fold(inner))
         shape = _shape(inner)
-        feats = [f"p={pair}", f"s={shape}", f"ps={pair}|{shape}", *[f"w={w}" for w in inner_words[:6] if len(w) > 3], f"i={' '.join(inner_words[:6])}"]
-        feats += [f"b={b}" for b in before[-1:]] + [f"a={a}" for a in after]
+        # round brackets are ordinary punctuation: their spot is judged by what it holds
+        feats = [] if pair == "(" else [f"p={pair}", f"s={shape}", f"ps={pair}|{shape}"]
+        feats += [f"w={w}" for w in dict.fromkeys(inner_words) if len(w) > 3]
+        if pair != "(":
+            feats += [f"i={' '.join(inner_words)}", *[f"b={b}" for b in before[-1:]], *[f"a={a}" for a in after]]
         spoken = [f"m={b}" for b in before if b in _MENTION]
-        if spoken or len(inner) > 45:  # what it holds says nothing then
-            feats = (spoken or ["long=True"]) * 3
+        if spoken:  # what it holds says nothing then
+            feats = spoken * 3
         out.append((span, feats, bool(TRUSTED_SLOT.fullmatch(span))))
     return out
 
 
+def _start(feats: list[str]) -> float:
+    """Weight as a slot that an unlabelled spot has in the first round: less the more it holds, none for what is content."""
+    if not any(f[:2] == "p=" for f in feats) or "s=digits" in feats:
+        return 0.0
+    return 0.7 / (1.0 + sum(f[:2] == "w=" for f in feats) / 8.0)
+
+
 class PuBayes:
     """Multinomial naive Bayes with fixed positives; unlabelled passages start as negatives and are re-weighted."""
 
@@ -100,9 +110,9 @@ class PuBayes:
         self.logit: dict[object, float] = {}
         self.prior = -math.inf
 
-    def fit(self, passages: Iterable[list], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: float = 0.0) -> None:
+    def fit(self, passages: Iterable[list], trusted: list[bool], ruled_out: list[bool], rounds: int = 8, alpha: float = 0.3, least: int = 3, start: list[float] | None = None) -> None:
         """``ruled_out``: unlabelled passages that are known to be content; features of fewer than ``least`` passages don't
-        count; ``start``: the weight as a positive that an unlabelled passage has in the first round."""
+        count; ``start``: the weight as a positive that each unlabelled passage has in the first round, 0 if not given."""
         ids: dict[object, int] = {}
         flat_, lens_ = array("i"), array("i")
         for p in passages:
@@ -114,7 +124,7 @@ class PuBayes:
         kept = np.bincount(flat, minlength=len(ids)) >= least
         flat, row = flat[kept[flat]], row[kept[flat]]
         fixed, out = np.array(trusted), np.array(ruled_out) & ~np.array(trusted)
-        q = np.where(fixed, 1.0, np.where(out, 0.0, start))
+        q = np.where(fixed, 1.0, np.where(out, 0.0, 0.0 if start is None else np.array(start)))
         v = len(ids)
         for _ in range(rounds):
             pos = np.where(kept, np.bincount(flat, q[row], v) + alpha, 0)
@@ -149,7 +159,7 @@ class Residue:
 
     def judge(self, text: str) -> tuple[int, float]:
         """(slots, share of the letters that stand in residue sentences)."""
-        slots = sum(trusted or self.slots.score(feats) > 0 for _, feats, trusted in spots(text))
+        slots = sum(self.slots.score(feats) > 0 for _, feats, _ in spots(text))
         bad = total = 0
         for s in sentences(fold(text)):
             total += len(s)
@@ -178,7 +188,7 @@ def fit(texts: Iterable[str]) -> Residue:
             marks.append(feats)
             mark_trust.append(trusted)
     model.lines.fit(map(sentence_features, lines), line_trust, line_out)
-    model.slots.fit(marks, mark_trust, [bool(_CONTENT.intersection(m)) for m in marks], start=0.7)
+    model.slots.fit(marks, mark_trust, [any(f[:2] == "m=" for f in m) for m in marks], start=[_start(m) for m in marks])
     return model
 
 

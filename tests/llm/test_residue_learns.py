@@ -24,8 +24,8 @@ def test_model_decides(texts):  # noqa: F811
 
 def test_round_brackets_are_judged_by_what_they_hold():
     names = ("cedula", "ciudad", "cuantia", "apoderado")
-    base = [legal(i).replace("mensual", "{{%s}}" % names[i % 4], 1) for i in range(120)] + [legal(i) + " (folio 31)." for i in range(200)]
-    base += [legal(i).replace("mensual", f"(escriba {names[i % 4]})", 1) for i in range(8)]
+    base = [legal(i).replace("mensual", "{{%s}}" % names[i % 4], 1) for i in range(400)] + [legal(i) + " (folio 31)." for i in range(600)]
+    base += [legal(i).replace("mensual", f"(escriba {names[i % 4]})", 1) for i in range(4)]
     model = R.fit(base)
     assert model.judge(legal(1).replace("mensual", "(escriba cedula)", 1))[0] == 1
     assert model.judge(legal(1) + " (folio 77).")[0] == 0

@@ -17,9 +17,3 @@ def test_site_of_other_wording():
     plain = [f"Ley {i} de 1991\n" + LAW.format(i=i) + "\n\nQuedan reservados los derechos sobre la versión para imprimir." for i in range(80)]
     found = B.fit([page(i) for i in range(80)] + plain).site_lines("\n".join(OTHER))
     assert {0, 1, 4} <= set(found) and not {2, 3} & set(found)
-
-
-def test_every_page_is_decoded():
-    model = B.Crf()
-    model.w["n=0"] = 1.0  # a field that takes every short line for the site's
-    assert model.site_lines("corta\n" + "larga " * 40) == [0]

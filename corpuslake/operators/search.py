@@ -117,7 +117,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
 
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (qid, id, rank) lists of equal weight."""
-    rows = plain_union(lists[0].sparkSession, *(x.select("qid", "id", "rank") for x in lists))
+    rows = plain_union(*(x.select("qid", "id", "rank") for x in lists), by=["qid"])
     fused = rows.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 8).alias("score"))
     return ranked(fused, ["qid"], [F.col("score").desc(), F.col("id")])
 

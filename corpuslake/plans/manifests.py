@@ -34,7 +34,7 @@ def resume_antijoin(spark, sf):
     """Documents that a run still has to fetch."""
     m = manifest(spark, sf)
     done = m.where("estado in ('ok', 'duplicado')").select("doc_id")
-    return plain_union(spark, chunks(spark, sf).select("doc_id"), m.select("doc_id")).distinct().join(done, "doc_id", "left_anti")
+    return plain_union(chunks(spark, sf).select("doc_id"), m.select("doc_id"), by=["doc_id"]).distinct().join(done, "doc_id", "left_anti")
 
 
 @query(

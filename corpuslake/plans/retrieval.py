@@ -53,7 +53,7 @@ def candidate_pool(spark, sf):
     pool = S.ranked(best, ["qid"], [F.col("score").desc(), F.col("id")], 150).select("qid", "id", F.lit(0).alias("forzado"))
     parts = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("articulo_id").alias("doc"))
     forced = _relevant(spark, sf).join(parts, "doc").select("qid", "id", F.lit(1).alias("forzado"))
-    return S.plain_union(spark, pool, forced).groupBy("qid", "id").agg(F.max("forzado").alias("forzado"))
+    return S.plain_union(pool, forced, by=["qid", "id"]).groupBy("qid", "id").agg(F.max("forzado").alias("forzado"))
 
 
 @query(f"WITH {PA}, s AS (SELECT pregunta_id AS qid, 'recuperado' AS etapa, id, row_number() OVER (PARTITION BY pregunta_id ORDER BY score DESC, id, pasaje_id) AS rank FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL), c AS (SELECT qid, 'entregado' AS etapa, id, rank FROM s WHERE rank <= 10) SELECT etapa, count(*) AS filas, count(DISTINCT qid) AS preguntas, CAST(max(rank) AS INTEGER) AS hondo FROM (SELECT * FROM s UNION ALL SELECT * FROM c) GROUP BY etapa")

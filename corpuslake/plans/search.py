@@ -221,4 +221,4 @@ def incremental_append(spark, sf):
     rows = chunks(spark, sf, "texto", "inicio").where("texto is not null")
     old, new = rows.where("inicio is not null"), rows.join(rows.where("inicio is not null").select("chunk_id"), "chunk_id", "left_anti")
     parts = [S.postings(S.documents(x)).groupBy("term").agg(F.count("*").alias("df")) for x in (old, new)]
-    return plain_union(spark, *parts).groupBy("term").agg(F.sum("df").alias("df"))
+    return plain_union(*parts, by=["term"]).groupBy("term").agg(F.sum("df").alias("df"))

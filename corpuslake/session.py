@@ -38,6 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the optimizer expects a frame to have; 0 where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 @contextmanager
 def shuffles_of(spark: SparkSession, size: float) -> Iterator[int]:
     """For the jobs that run inside: as many shuffle partitions as ``size`` bytes need at the session's advised partition

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import input_bytes, shuffles_of
 from .base import cut_lineage
 
 _WORD = re.compile(r"[^\W_]+")
@@ -109,23 +110,23 @@ def _bands(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([("banda", pa.int64()), ("clase", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int, int]] = set()
         shingle = Shingler(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                new = {c: t for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if c not in seen}
+                new = {k: t for *k, t in zip(*(c.to_pylist() for c in part.columns)) if (k := tuple(k)) not in seen}
                 seen.update(new)
                 keys, classes = [np.empty(0, np.int64)], []
-                for c, s in zip(new, shingle.runs(list(new.values()))):
+                for (c, _, _), s in zip(new, shingle.runs(list(new.values()))):
                     if len(s):
                         keys.append(band_keys(signature(s, bands * rows), bands, rows))
                         classes.append(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), bands))], schema=schema)
 
-    return texts.select("clase", "t").mapInArrow(run, "banda long, clase long")
+    return texts.select("clase", "doble.h", "doble.n", "t").mapInArrow(run, "banda long, clase long")
 
 
 def _verify(pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -160,27 +161,34 @@ def _verify(pairs: DataFrame, width: int, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, clase_id) of every record with a shingle, and (a, b, similitud) between classes, a < b.
 
-    A class's id is its smallest member; classes are told apart by a 64-bit hash of the whole text. Nothing is collected, no partner is capped: a crowded band is an ordinary
-    skewed join key, which adaptive execution splits, and copies never enter it more than once.
+    A class's id is its smallest member; classes are told apart by two hashes of the whole text and its length. Nothing is
+    collected, no partner is capped: a crowded band is an ordinary skewed join key, which adaptive execution splits, and
+    copies never enter it more than once. Texts that share the first hash only are banded together and verified apart.
     """
+    spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
     enough = r"([\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (width - 1)
     texts = texts.where(F.col("t").rlike(enough)).withColumn("clase", F.xxhash64("t"))
-    firsts = texts.groupBy("id").agg(F.min("clase").alias("clase"))
-    reps = firsts.groupBy("clase").agg(F.min("id").alias("clase_id"))
-    members = cut_lineage(firsts.join(reps, "clase").select("id", "clase", "clase_id"))
+    texts = texts.withColumn("doble", F.struct("clase", F.hash("t").alias("h"), F.length("t").alias("n")))
+    firsts = texts.groupBy("id").agg(F.min("doble").alias("doble"))
+    reps = firsts.groupBy("doble").agg(F.min("id").alias("clase_id"))
+    members = cut_lineage(firsts.join(reps, "doble").select("id", F.col("doble.clase").alias("clase"), "clase_id"))
     reps = members.where("id = clase_id").select("clase", "clase_id")
     banded = _bands(texts, width, bands, rows)
-    pairs = banded.select("banda", F.col("clase").alias("x")).join(banded.select("banda", F.col("clase").alias("y")), "banda")
-    pairs = pairs.where("x < y").select("x", "y").distinct()
-    ends = reps.select(F.col("clase").alias("x"), F.col("clase_id").alias("p"))
-    pairs = pairs.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
-    pairs = cut_lineage(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    # the self-join reads both sides: (8 + 8 bytes) for each band of each class, twice
+    with shuffles_of(spark, 2.0 * 16 * bands * reps.count()):
+        pairs = banded.select("banda", F.col("clase").alias("x")).join(banded.select("banda", F.col("clase").alias("y")), "banda")
+        pairs = pairs.where("x < y").select("x", "y").distinct()
+        ends = reps.select(F.col("clase").alias("x"), F.col("clase_id").alias("p"))
+        pairs = pairs.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
+        pairs = cut_lineage(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("t", "clase").alias("t"))
+    needed = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("t", "doble").alias("t"))
     left = needed.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = needed.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    links = _verify(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), width, threshold)
+    # at most every text stands at both ends, and travels with each of its pairs
+    with shuffles_of(spark, 4.0 * input_bytes(df)):
+        links = cut_lineage(_verify(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), width, threshold))
     return members.select("id", "clase_id"), links
 
 
@@ -225,7 +233,6 @@ def components(members: DataFrame, links: DataFrame, most_rounds: int = 60) -> D
 def groups(pasajes: DataFrame) -> DataFrame:
     """(pasaje_id, doc_id, grupo, enlaces): group of every passage, and its number of links to other texts."""
     members, links = near_duplicates(pasajes, "pasaje_id", "texto", width=3, threshold=0.60)
-    links = cut_lineage(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("clase_id")).groupBy("clase_id").agg(F.count("*").cast("int").alias("enlaces"))
     docs = pasajes.where("pasaje_id is not null").groupBy(F.col("pasaje_id").alias("id")).agg(F.min(F.substring_index("id", "/", 1)).alias("doc_id"))
     out = components(members, links).join(members, "id").join(degree, "clase_id", "left").join(docs, "id", "left")

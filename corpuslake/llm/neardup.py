@@ -117,7 +117,7 @@ def _bands(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                new = {k: t for *k, t in zip(*(c.to_pylist() for c in part.columns)) if (k := tuple(k)) not in seen}
+                new = {r[:3]: r[3] for r in zip(*(c.to_pylist() for c in part.columns)) if r[:3] not in seen}
                 seen.update(new)
                 keys, classes = [np.empty(0, np.int64)], []
                 for (c, _, _), s in zip(new, shingle.runs(list(new.values()))):

@@ -25,7 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_arrow, sample_rows
+from .base import cut_lineage, map_arrow, sample_rows
 
 # What scanning writes for what stood on paper.
 CONFUSIONS = (
@@ -35,11 +35,17 @@ CONFUSIONS = (
 )
 #: Marks that scanning leaves where a word is broken at a line's end.
 MARKS = "-–¬\xad‐"
-MIN_COUNT = 3
+#: A word of the lexicon stands in this share of the clean records (and in ``MIN_COUNT`` of them), so that the lexicon is
+#: alike at every size and has at most a record's words divided by the share.
+MIN_SHARE, MIN_COUNT = 5e-4, 3
+#: A word this rare may be a misreading of one ``COMMONER`` times as common.
+RARE_SHARE, COMMONER = 0.01, 25
 #: Operations tried at a character, and how far below KEEP one may score alone.
 NEAR, SLACK = 4, 2.0
 #: Words damaged outside the pairs, in each of three ways, for each word of the lexicon.
 DAMAGED = 2
+#: How often a code that clean records hold is shown, with other numbers each time.
+CODE_SHOWN = 20
 _WORD = re.compile(r"[A-Za-záéíóúüñÁÉÍÓÚÜÑ0-9@ﬁﬂ]+")
 _LETTERS = re.compile(r"[A-Za-záéíóúüñÁÉÍÓÚÜÑ]+")
 _BREAK = re.compile(rf"([A-Za-záéíóúüñÁÉÍÓÚÜÑﬁﬂ@0-9]+)([{MARKS}])$")
@@ -87,7 +93,8 @@ class Perceptron:
         self._at[key] = self._t
         row[label] = row.get(label, 0.0) + v
 
-    def fit(self, data: list[tuple[list[str], str]], labels: Iterable[str], epochs: int = 4, seed: int = 7) -> None:
+    def fit(self, data: list[tuple[list[str], str]], labels: Iterable[str], epochs: int = 4, seed: int = 7, margin: float = 0.0) -> None:
+        """``margin``: how far the right label must lead the next one, or the weights move."""
         order, rng, labels = list(range(len(data))), random.Random(seed), sorted(labels)
         for _ in range(epochs):
             rng.shuffle(order)
@@ -96,6 +103,9 @@ class Perceptron:
                 got = self.scores(feats)
                 guess = max(labels, key=lambda x: got.get(x, 0.0))
                 self._t += 1
+                if margin and guess == gold:
+                    near = max((x for x in labels if x != gold), key=lambda x: got.get(x, 0.0))
+                    guess = near if got.get(gold, 0.0) - got.get(near, 0.0) < margin else gold
                 if guess != gold:
                     for f in feats:
                         self._add(f, gold, 1.0)
@@ -136,8 +146,8 @@ def apply_op(c: str, op: str) -> str:
 class Editor:
     """The models of the operator; see :func:`fit`."""
 
-    def __init__(self, words: Counter) -> None:
-        self.words = words
+    def __init__(self, words: Counter, codes: Counter | None = None) -> None:
+        self.words, self.codes = words, codes or Counter()
         self.chars, self.ends, self.lines = Perceptron(), Perceptron(), Perceptron()
         self._plain: set[str] = set()
         self._memo: dict[str, str | None] = {}
@@ -169,6 +179,11 @@ class Editor:
                 ):
                     if bad not in self.words:
                         data += [(char_features(bad, i), op) for i, op in enumerate(ops) if op != "K" or abs(i - at) < 3]
+        # codes of letters and digits that clean records hold are kept
+        for code in sorted(self.codes):
+            for _ in range(CODE_SHOWN):
+                own = _DIGITS.sub(lambda _: str(rng.randrange(10 ** rng.randrange(1, 4))), code)
+                data += [(char_features(own, i), "K") for i in range(len(own))]
         if data:
             self.chars.fit(data, {op for _, op in data}, epochs=3)
 
@@ -182,7 +197,7 @@ class Editor:
         self._memo[token] = out
         return out
 
-    def _correct(self, s: str, most: int = 3, beam: int = 24) -> str | None:
+    def _correct(self, s: str, beam: int = 24) -> str | None:
         """Beam search over whole confusions and the operations that the perceptron rates near KEEP or above it.
 
         A path is (score, edits, word so far) by position in ``s``. The best one that ends in a word of the corpus
@@ -200,17 +215,16 @@ class Editor:
             here = sorted(((p, n, t) for (n, t), p in paths[i].items()), key=lambda x: (-x[0], x[1], x[2]))
             for p, n, t in here[:beam]:
                 steps = [(i + 1, p + ops_at[i]["K"], n, t + c)]
-                if n < most:
-                    steps += [(i + 1, p + v, n + 1, t + apply_op(c, op)) for op, v in near[i]]
-                    for true, seen in CONFUSIONS:
-                        if s.startswith(seen, i):
-                            gain = sum(ops_at[i + k][op] for k, op in enumerate(_ops(true, seen)))
-                            steps.append((i + len(seen), p + gain, n + 1, t + true))
+                steps += [(i + 1, p + v, n + 1, t + apply_op(c, op)) for op, v in near[i]]
+                for true, seen in CONFUSIONS:
+                    if s.startswith(seen, i):
+                        gain = sum(ops_at[i + k][op] for k, op in enumerate(_ops(true, seen)))
+                        steps.append((i + len(seen), p + gain, n + 1, t + true))
                 for j, q, m, w in steps:
                     if q > paths[j].get((m, w), -1e18):
                         paths[j][m, w] = q
         keep = sum(ops["K"] for ops in ops_at)
-        best = [(p, n, t) for (n, t), p in paths[-1].items() if n and p > keep and len(t) >= 3 and t in self.words]
+        best = [(p, n, t) for (n, t), p in paths[-1].items() if n and p > keep and t in self.words]
         return min(best, key=lambda x: (-x[0], x[1], x[2]))[2] if best else None
 
     # -- marks at a line's end
@@ -247,7 +261,7 @@ class Editor:
 
     def is_furniture(self, lines: list[str], i: int, title: str, seen: Counter) -> bool:
         line = lines[i].strip()
-        if not line or i == 0 or len(line) > 90:
+        if not line or i == 0:
             return False
         feats = line_features(lines, i, title, seen)
         key = tuple(feats)
@@ -300,11 +314,15 @@ class Editor:
         if len(self._plain) > 1_000_000:
             self._plain.clear()
         for token in list(rest):
-            if len(token) < 4 or len(token) > 30 or token.isdigit() or token in self.words or token.lower() in self.words or self.correct(token) is None:
+            if self._settled(token) or self.correct(token) is None:
                 self._plain.add(token)
                 rest.discard(token)
         return not rest
 
+    def _settled(self, token: str) -> bool:
+        """Nothing to look at: a word of the corpus, a number, one letter, or a code in capitals."""
+        return token in self.words or token.lower() in self.words or token.isdigit() or len(token) < 2 or (token.isupper() and any(c.isdigit() for c in token))
+
     def _words(self, line: str, faults: dict[str, int]) -> str:
         bare = _TAG.sub(lambda m: " " * len(m.group()), line) if "<" in line or "\\" in line or "://" in line else line
         if "&" in bare and ";" in bare:
@@ -312,13 +330,13 @@ class Editor:
         out, at = [], 0
         for m in _WORD.finditer(bare):
             token = m.group()
-            if token in self.words or len(token) < 4 or token.isdigit() or token.lower() in self.words or len(token) > 30:
+            if self._settled(token):
                 continue
             before, after = bare[m.start() - 1 : m.start()], bare[m.end() : m.end() + 1]
             if before in ("-", "_", "\\", "'", "{", "&", "#", "/", ".", "’") and before or after in ("_", "\\", "/", "’", "\xad", "¬") and after or (before and not before.isascii() and before not in "«“¿¡›–") or (after and not after.isascii() and after not in "»”…›–"):
                 continue
-            if sum(c.isalpha() for c in token) < 3 or (token.isupper() and any(c.isdigit() for c in token)):
-                continue
+            if after in (".", "-") and after and bare[m.end() + 1 : m.end() + 2].isdigit() and any(c.isdigit() for c in token):
+                continue  # part of a longer code
             word = self.correct(token)
             if word:
                 faults["letra"] += 1
@@ -333,7 +351,7 @@ def _cased(token: str, word: str) -> str:
 
 def _broken(line: str) -> re.Match | None:
     """The word and the mark at a line's end, if there is one."""
-    return _BREAK.search(line, max(0, len(line) - 60)) if line and line[-1] in MARKS else None
+    return _BREAK.search(line, max(line.rfind(" "), line.rfind("\t")) + 1) if line and line[-1] in MARKS else None
 
 
 def _open_end(line: str) -> bool:
@@ -363,8 +381,8 @@ def _digitless(line: str) -> str:
 
 
 def repeats(lines: list[str]) -> Counter:
-    """How often each short line stands in a text, whatever its numbers."""
-    return Counter(_digitless(x) for x in lines if 0 < len(x.strip()) <= 90)
+    """How often each line stands in a text, whatever its numbers."""
+    return Counter(_digitless(x) for x in lines if x.strip())
 
 
 def line_features(lines: list[str], i: int, title: str, seen: Counter, blind: bool = False) -> list[str]:
@@ -374,7 +392,7 @@ def line_features(lines: list[str], i: int, title: str, seen: Counter, blind: bo
     """
     line = lines[i].strip()
     own = bool(title) and line.endswith(title)
-    shapes = [f"s{k}{own if k == 7 else ''}" for k, p in enumerate(FURNITURE) if p.fullmatch(line) and (k != 6 or _spaced(line))]
+    shapes = [f"s{k}{own if k == 7 else ''}" for k, p in enumerate(FURNITURE) if (k != 6 or _spaced(line)) and p.fullmatch(line)]
     if title and line != title and line.upper() == title.upper() and line == line.upper():
         shapes.append("title")
     if _SPECK.fullmatch(line) and not _MARKUP_LINE.fullmatch(line):
@@ -386,7 +404,8 @@ def line_features(lines: list[str], i: int, title: str, seen: Counter, blind: bo
     again = min(3, seen[_digitless(line)])
     if blind or not shapes:
         head = f"{line[:1].islower()}{_open_end(line)}"
-        return ["none", f"none:{cut}:{head}", f"r{again}", f"r{again}:{cut}", f"r{again}:{head}:{min(3, len(words))}"]
+        size = len(line).bit_length()
+        return ["none", f"none:{cut}:{head}", f"z{size}", f"r{again}:{size > 7}", f"r{again}:{cut}:{size > 7}", f"r{again}:{head}:{min(3, len(words))}:{size > 7}"]
     feats = [f"{s}:{cut}" for s in shapes] + shapes
     return feats + [f"n{min(3, len(words))}", f"b{before.rstrip()[-1:] in MARKS and bool(before)}", f"e{_open_end(before)}", f"f{after.lstrip()[:1].islower()}", f"c{line.isupper()}", f"x{line[:1].isdigit()}|{'|' in line}"]
 
@@ -400,26 +419,42 @@ def _text(raw: str) -> str | None:
     return text if isinstance(text, str) else None
 
 
-def fit(texts: Iterable[str]) -> Editor:
-    """Lexicon and perceptrons from texts; no labels are needed.
+_DIRTY = ("-\n", "–\n", "¬", "\xad", "\\", "<", "&", "�", "Ã", "**", "__")
+_LOST = re.compile(r"\w\?\w")
+_DIGITS = re.compile(r"\d+")
+
+
+def clean_words(text: str) -> set[str] | None:
+    """Distinct lower-cased words and codes (numbers as 9) of a record that shows no fault; None for one that does."""
+    if any(x in text for x in _DIRTY) or _LOST.search(text):
+        return None
+    return {_DIGITS.sub("9", w.lower()) for w in _WORD.findall(text)}
+
+
+def fit(texts: Iterable[str], counts: Counter | None = None, records: int = 0) -> Editor:
+    """Lexicon and perceptrons; no labels are needed.
 
-    Characters and line ends are trained on words damaged on purpose. Lines are trained on trusted shapes, as furniture
-    where they stand alone among running text, and on ordinary lines; a table row or list number of the same shape is
-    the other class.
+    ``counts``: in how many of ``records`` clean records each word stands; counted on the texts if not given. Characters
+    and line ends are trained on words damaged on purpose. Lines are trained on trusted shapes, as furniture where they
+    stand alone among running text, and on ordinary lines; a table row or list number of the same shape is the other
+    class.
     """
     texts = list(texts)
-    counts: Counter = Counter()
-    for t in texts:
-        if not any(x in t for x in ("-\n", "–\n", "¬", "\xad", "\\", "<", "&", "�", "Ã", "**", "__")) and not re.search(r"\w\?\w", t):
-            counts.update(set(w.lower() for w in _LETTERS.findall(t)))
-    words = Counter({w: n for w, n in counts.items() if n >= MIN_COUNT})
-    editor = Editor(words)
+    if counts is None:
+        counts = Counter()
+        for ws in filter(None, map(clean_words, texts)):
+            counts.update(ws)
+            records += 1
+    least = max(MIN_COUNT, MIN_SHARE * records)
+    common = {w: n for w, n in counts.items() if n >= least}
+    words = Counter({w: n for w, n in common.items() if _LETTERS.fullmatch(w)})
+    editor = Editor(words, Counter({w: n for w, n in common.items() if w not in words and not w.isdigit() and any(c.isdigit() for c in w)}))
     editor.train_chars()
     # a misreading of a far commoner word is no word
-    for w in sorted(words, key=lambda w: words[w]):
+    for w in sorted(words, key=lambda w: (words[w], w)):
         n = words.pop(w)
-        better = editor._correct(w) if len(w) >= 4 and n < 60 else None
-        if not (better and counts[better] >= 25 * n):
+        better = editor._correct(w) if len(w) >= 4 and n < RARE_SHARE * records else None
+        if not (better and counts[better] >= COMMONER * n):
             words[w] = n
     editor._memo.clear()
     editor.train_ends()
@@ -430,7 +465,7 @@ def fit(texts: Iterable[str]) -> Editor:
         seen = repeats(lines)
         for i in range(1, len(lines)):
             line = lines[i].strip()
-            if not line or len(line) > 90:
+            if not line:
                 continue
             feats = line_features(lines, i, title, seen)
             if feats[0] == "none":
@@ -442,13 +477,36 @@ def fit(texts: Iterable[str]) -> Editor:
             blind = line_features(lines, i, title, seen, blind=True)
             if seen[_digitless(line)] > 1 and "none:TrueTrue" in blind[1]:  # only a sentence that runs through tells it from a list
                 data.append((blind, data[-1][1]))
-    editor.lines.fit(data, ("IN", "OUT"), epochs=3)
+    editor.lines.fit(data, ("IN", "OUT"), epochs=3, margin=4.0)
     return editor
 
 
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(w, n): in how many clean records each word or code stands, over all records; '' counts the records themselves."""
+
+    def run(cols: list[list]) -> list[list]:
+        own: Counter = Counter()
+        for raw in cols[0]:
+            text = _text(raw)
+            ws = clean_words(text) if text else None
+            if ws is not None:
+                own.update(ws)
+                own[""] += 1
+        return [list(own), list(own.values())]
+
+    rows = chunks.select("datos").where(F.col("datos").isNotNull())
+    return map_arrow(rows, "w string, n long", run).groupBy("w").agg(F.sum("n").cast("long").alias("n"))
+
+
 def fit_model(chunks: DataFrame) -> Editor:
-    """Fitted on about ``SAMPLE_ROWS`` records (see :func:`base.sample_rows`), the lexicon too."""
-    return fit(t for t in map(_text, sample_rows(chunks, "chunk_id", "datos", seed="ocr")) if t)
+    """The lexicon is counted over all records; only words of enough of them come to the driver, which bounds their number.
+    The perceptrons are fitted on about ``SAMPLE_ROWS`` records (see :func:`base.sample_rows`)."""
+    counted = cut_lineage(word_counts(chunks))
+    total = counted.where("w = ''").first()
+    records = total.n if total else 0
+    common = counted.where((F.col("w") != "") & (F.col("n") >= max(MIN_COUNT, MIN_SHARE * records))).collect()
+    texts = [t for t in map(_text, sample_rows(chunks, "chunk_id", "datos", seed="ocr")) if t]
+    return fit(texts, Counter({r.w: r.n for r in common}), records)
 
 
 def repair_chunks(chunks: DataFrame, model: Editor | None = None) -> DataFrame:

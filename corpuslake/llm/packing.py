@@ -5,7 +5,8 @@ remaining capacities finds it in logarithmic time. Items larger than a container
 a rest. The corpus is packed in blocks of about ``BLOCK_ITEMS`` items, chosen by a hash of the id: only sizes travel,
 a block fits a task however large the corpus is, and what blocks cost is at most their last bins.
 
-Sizes are tokens of a public byte-level BPE vocabulary (``byte_bpe_multi_50k.tiktoken``); its folder is a parameter.
+Sizes are tokens of a public byte-level BPE vocabulary (``byte_bpe_multi_50k.tiktoken``); its folder is a parameter. The
+driver reads it there and ships the file to the executors.
 
 Defined results
     * null and blank texts: no row; an empty table, or no containers: no rows; a capacity below 1 is left out.
@@ -24,7 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -89,10 +91,17 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def encoder(folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
+def ship(spark: SparkSession, folder: str, name: str) -> None:
+    """The vocabulary's file goes to every executor, unless the session has sent it before."""
+    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(os.path.join(folder, name))
+
+
+def encoder(name: str = TOKENIZER):
+    """The tokenizer from the shipped file."""
     import tiktoken
 
-    with open(os.path.join(folder, name), "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("corpuslake", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -100,9 +109,10 @@ def encoder(folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
 def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens) of every non-blank text."""
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64())])
+    ship(documents.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
+        enc = encoder(name)
         for batch in batches:
             ids, counts = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -143,6 +153,15 @@ def pack(counts: DataFrame, contenedores: DataFrame, block_items: int = BLOCK_IT
     return blocked.groupBy("bloque").applyInPandas(block, schema)
 
 
+def room(documents: DataFrame, contenedores: DataFrame) -> DataFrame:
+    """(contenedor_id, capacidad_tokens, recipientes, documentos, tokens, libre): bins of each capacity, and the share of
+    their room that is left unused."""
+    used = bins(documents, contenedores)
+    got = used.groupBy("contenedor_id", "capacidad_tokens", "bloque", "recipiente").agg(F.sum("tokens").alias("t"), F.count_if(F.col("parte") == 0).alias("d"))
+    got = got.groupBy("contenedor_id", "capacidad_tokens").agg(F.count("*").alias("recipientes"), F.sum("d").alias("documentos"), F.sum("t").alias("tokens"))
+    return got.withColumn("libre", F.round(1 - F.col("tokens") / (F.col("recipientes") * F.col("capacidad_tokens")), 6))
+
+
 def bins(documents: DataFrame, contenedores: DataFrame) -> DataFrame:
     from .base import cut_lineage
 

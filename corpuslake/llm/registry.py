@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_main_text": _on(boilerplate.main_texts, "chunks", "pasajes"),
         "p3_found": _on(splitter.found, "chunks", "limites"),
         "p3_pieces": _on(splitter.distinct_pieces, "chunks", "limites"),
+        "p3_rebuilt": _on(splitter.rebuilt, "chunks", "limites"),
         "p4_found": _on(neardup.found, "pasajes"),
         "p4_groups": _on(neardup.groups, "pasajes"),
         "p5_found": _on(ocr.found, "chunks"),
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_clean_text": _on(markup.clean_texts, "chunks", "pasajes"),
         "p7_found": _on(topn.found, "pasajes"),
         "p8_bins": _on(packing.bins, "documents", "contenedores"),
+        "p8_room": _on(packing.room, "documents", "contenedores"),
         "p9_found": _on(leakage.found, "documents", "preguntas"),
         "p9_leaks": _on(leakage.leaks, "documents", "preguntas"),
         "p10_found": _on(residue.found, "documents"),
@@ -46,6 +48,12 @@ FROM chunks c JOIN limites l ON c.tipo_chunk = l.tipo_chunk
 WHERE length(json_extract_string(c.datos, '$.texto')) > l.max_chars
 """
 
+_P3_REBUILT = """
+SELECT c.chunk_id, any_value(length(json_extract_string(c.datos, '$.texto'))) AS letras, any_value(md5(json_extract_string(c.datos, '$.texto'))) AS huella, true AS bajo_limite
+FROM chunks c JOIN limites l ON c.tipo_chunk = l.tipo_chunk
+WHERE length(json_extract_string(c.datos, '$.texto')) > l.max_chars GROUP BY c.chunk_id
+"""
+
 _P4 = r"""
 WITH w AS (
     SELECT pasaje_id, regexp_extract_all(lower(min(texto)), '[\p{L}\p{N}]+') AS ws
@@ -90,4 +98,4 @@ SELECT DISTINCT dg.doc_id, ig.id AS item_id FROM dg JOIN ig ON dg.g = ig.g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p4_found": _P4, "p7_found": _P7, "p9_found": _P9}
+    return {"p3_found": _P3, "p3_rebuilt": _P3_REBUILT, "p4_found": _P4, "p7_found": _P7, "p9_found": _P9}

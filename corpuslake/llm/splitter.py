@@ -6,8 +6,8 @@ plus the overlap fits the limit. Every piece but the first repeats the end of th
 
 Defined results
     * null texts, null kinds and kinds without a limit are not split; an empty table: no rows.
-    * repeated rows count once; a text at the limit is not oversized; an overlap of half the limit or more is cut to
-      half of it less one, a limit below 2 gives pieces of one character.
+    * repeated rows count once (of several texts of an id, one of the oversized ones is split whole); a text at the limit
+      is not oversized; an overlap that leaves no room for a new character is cut to the limit less one.
     * ties in the heap: the smaller combined size, then the leftmost pair. Pieces without their overlap make up the
       text again, character by character.
 """
@@ -61,7 +61,7 @@ def segments(text: str, limit: int) -> list[tuple[int, int, float]]:
 def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, int]]:
     """Pieces as (start of the overlap, start, end) in order; ``end - start of the overlap`` never exceeds ``limit``."""
     limit = max(1, limit)
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, limit - 1))
     if len(text) <= limit:
         return [(0, 0, len(text))]
     room = limit - overlap
@@ -101,8 +101,9 @@ def with_limits(chunks: DataFrame, limites: DataFrame) -> DataFrame:
     return joined.where(F.length("texto") > F.col("max_chars"))
 
 
-def pieces(chunks: DataFrame, limites: DataFrame) -> DataFrame:
-    """(chunk_id, articulo_id, tipo_chunk, parte, n_partes, inicio, fin, traslape, texto) of every oversized chunk."""
+def pieces(chunks: DataFrame, limites: DataFrame, once: bool = False) -> DataFrame:
+    """(chunk_id, articulo_id, tipo_chunk, parte, n_partes, inicio, fin, traslape, texto) of every oversized chunk; with
+    ``once``, rows sent again are dropped before they are split, when only the oversized ones travel."""
 
     def run(cols: list[list]) -> list[list]:
         out: list[list] = [[] for _ in range(9)]
@@ -114,12 +115,24 @@ def pieces(chunks: DataFrame, limites: DataFrame) -> DataFrame:
         return out
 
     rows = with_limits(chunks, limites).select("tipo_chunk", "chunk_id", "articulo_id", "texto", "max_chars", "traslape_chars").where("chunk_id is not null")
+    rows = rows.dropDuplicates(["chunk_id"]) if once else rows
     schema = "chunk_id string, articulo_id string, tipo_chunk string, parte int, n_partes int, inicio int, fin int, traslape int, texto string"
     return map_arrow(rows, schema, run)
 
 
 def distinct_pieces(chunks: DataFrame, limites: DataFrame) -> DataFrame:
-    return pieces(chunks, limites).dropDuplicates(["chunk_id", "parte"])
+    return pieces(chunks, limites, once=True)
+
+
+def rebuilt(chunks: DataFrame, limites: DataFrame) -> DataFrame:
+    """(chunk_id, letras, huella, bajo_limite): each split text put together again from its pieces, and whether all of them
+    keep the limit of its kind."""
+    own = F.expr("substring(texto, traslape + 1)")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("parte", own.alias("x")))), lambda p: p["x"]), "")
+    limits = limites.groupBy("tipo_chunk").agg(F.min("max_chars").alias("max_chars"))
+    got = distinct_pieces(chunks, limites).join(limits, "tipo_chunk")  # as small as with_limits found it
+    got = got.groupBy("chunk_id").agg(whole.alias("t"), F.max(F.length("texto") > F.col("max_chars")).alias("over"))
+    return got.select("chunk_id", F.length("t").alias("letras"), F.md5("t").alias("huella"), (~F.col("over")).alias("bajo_limite"))
 
 
 def found(chunks: DataFrame, limites: DataFrame) -> DataFrame:

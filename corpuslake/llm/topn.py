@@ -2,7 +2,8 @@
 
 Method: secondary sort. Rows are hash-partitioned by group, sorted within partitions by group, score and identifier,
 and streamed as Arrow batches that let the first N of each group through; no group is ever buffered. A first round does
-the same on (group, salt), so that a crowded group is spread over ``SALTS`` tasks and only N rows of each go on.
+the same on (group, salt), so that a crowded group is spread over many tasks and only N rows of each go on; the number
+of salts follows the number of rows.
 
 Defined results
     * null groups, and null or NaN scores, never count; an empty table: no rows; infinite scores are ordinary.
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-SALTS = 16
+#: Salts at least, and the rows for each salt beyond: a group of all rows is still parted into tasks of about so many.
+SALTS, SALT_ROWS = 16, 500_000
 
 
 def _first_n(df: DataFrame, group_cols: list[str], key_cols: list[str], n: int, rank: str | None) -> DataFrame:
@@ -78,8 +80,9 @@ def _first_n(df: DataFrame, group_cols: list[str], key_cols: list[str], n: int,
     return df.mapInArrow(run, out)
 
 
-def top_n(df: DataFrame, group_cols: list[str], score_col: str, tie_cols: list[str], n: int, rank: str = "rank", salts: int = SALTS) -> DataFrame:
+def top_n(df: DataFrame, group_cols: list[str], score_col: str, tie_cols: list[str], n: int, rank: str = "rank", salts: int | None = None) -> DataFrame:
     """The ``n`` rows of highest score of every group, with their place from 1."""
+    salts = salts or max(SALTS, -(-df.count() // SALT_ROWS))
     rows = df.where(F.col(score_col).isNotNull() & ~F.isnan(F.col(score_col).cast("double")))
     for c in group_cols:
         rows = rows.where(F.col(c).isNotNull())

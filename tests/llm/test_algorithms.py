@@ -24,7 +24,7 @@ def test_split_properties(text, limit, overlap):
     parts = S.split(text, limit, overlap)
     assert "".join(text[s:e] for _, s, e in parts) == text
     assert all(e - a <= limit for a, _, e in parts)
-    used = min(overlap, (limit - 1) // 2)
+    used = min(overlap, limit - 1)
     if len(text) > limit:
         assert all(s - a == min(used, s) for a, s, _ in parts[1:])
 
@@ -232,3 +232,15 @@ def test_bayes_without_trusted():
     model = R.PuBayes()
     model.fit([["a"], ["b"]], [False, False], [False, False])
     assert model.score(["a"]) == -math.inf
+
+
+def test_rebuilt_and_room(spark):
+    rows = [("a", "x", "seccion", json.dumps({"texto": "ñ. " * 50})), ("w", None, "seccion", json.dumps({"texto": "😀" * 11}))]
+    chunks = spark.createDataFrame(rows * 2, "chunk_id string, articulo_id string, tipo_chunk string, datos string")
+    limites = spark.createDataFrame([("seccion", 10, 7)], "tipo_chunk string, max_chars int, traslape_chars int")
+    got = {r.chunk_id: r for r in S.rebuilt(chunks, limites).collect()}
+    assert (got["a"].letras, got["w"].letras) == (150, 11) and got["a"].bajo_limite and got["w"].bajo_limite
+    docs = spark.createDataFrame([(i, "palabra de ley " * (1 + i * 7 % 90)) for i in range(300)], "doc_id long, text string")
+    kinds = spark.createDataFrame([(1, 512)], "contenedor_id int, capacidad_tokens int")
+    row = P.room(docs, kinds).first()
+    assert row.documentos == 300 and 0 <= row.libre < 0.02

@@ -2,112 +2,202 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage, plain_union
-from ..sources.tables import is_small, write_index
+from ..functions import tokens as K
+from ..session import cut_lineage, input_bytes, plain_union, shuffles_of
 
+# The weights of the ranking, of the fusion and of the score adjustment.
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Penalty of a passage by its kind, unless it was cited expressly.
 KIND_PENALTY = {"preambulo": 0.2, "notas": 0.15, "anexo": 0.1, "seccion": 0.1}
+#: Distinct words of the questions that go to every task; with more of them postings are joined instead.
+ONLY_TERMS = 50_000
 
 
-def documents(chunks: DataFrame, text: str = "texto", key: str = "chunk_id") -> DataFrame:
-    """(id, toks, dl) of a corpus."""
-    return chunks.select(F.col(key).alias("id"), T.tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
+@dataclass(frozen=True)
+class Corpus:
+    """Texts to be searched: ``rows`` (id, text), where an id may be sent again.
+
+    With ``fields`` the text is a chunk's JSON: ``texto`` is read from it, and the fields are kept beside the id.
+    """
+
+    rows: DataFrame
+    stems: bool = False
+    fields: tuple[str, ...] | None = None
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, dl, tf). With ``only`` (term), other terms leave before anything is shuffled."""
-    flat = docs.select("id", "dl", F.explode("toks").alias("term"))
-    if only is not None:
-        flat = flat.join(only, "term", "left_semi")
-    return flat.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+def documents(chunks: DataFrame, text: str = "texto", key: str = "chunk_id", stems: bool = False) -> Corpus:
+    return Corpus(chunks.select(F.col(key).alias("id"), F.col(text).alias("text")), stems)
+
+
+def analysed(corpus: Corpus, only: frozenset[str] | None = None) -> DataFrame:
+    """(id, fields, dl, p): one row for each id with a text; ``p`` holds (term, tf), of the terms in ``only`` if given.
+
+    A text is tokenised where it is read and never shuffled: rows sent again are dropped afterwards, from what is left.
+    """
+    fields, stems = corpus.fields or (), corpus.stems
+    ddl = ", ".join(["id string", *(f"{f} string" for f in fields), "dl int, p array<struct<term:string,tf:int>>"])
+    pairs = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    schema = pa.schema([("id", pa.string()), *((f, pa.string()) for f in fields), ("dl", pa.int32()), ("p", pairs)])
+    in_json = corpus.fields is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own: dict = {}
+                if in_json:
+                    try:
+                        own = json.loads(text)
+                    except ValueError:
+                        continue
+                    text = own.get("texto") if isinstance(own, dict) else None
+                if not isinstance(text, str):
+                    continue
+                toks = K.tokens(text, stems)
+                tf = Counter(toks if only is None else [t for t in toks if t in only])
+                row = [key, *(own.get(f) for f in fields), len(toks), [{"term": t, "tf": n} for t, n in sorted(tf.items())]]
+                for col, v in zip(out, row):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    rows = corpus.rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select(F.col("id").cast("string").alias("id"), "text")
+    names = [*fields, "dl", "p"]
+    once = rows.mapInArrow(run, ddl).groupBy("id").agg(F.max(F.struct(*names)).alias("x"))
+    return once.select("id", *[F.col(f"x.{n}").alias(n) for n in names])
+
+
+def postings(docs: DataFrame, *keep: str) -> DataFrame:
+    """(id, keep, dl, term, tf) of analysed texts."""
+    return docs.select("id", *keep, "dl", F.explode("p").alias("p")).select("id", *keep, "dl", "p.term", "p.tf")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stems: bool = False) -> DataFrame:
     """(qid, term, qtf) of queries (qid, text); repeated query words weigh again."""
-    return queries.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    rows = queries.where("qid is not null and text is not null").select("qid", "text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [(q, t, n) for q, x in zip(frame.qid, frame.text) for t, n in Counter(K.tokens(x, stems)).items()]
+            yield pd.DataFrame(got, columns=["qid", "term", "qtf"])
+
+    return rows.mapInPandas(run, "qid long, term string, qtf int")
 
 
-def bm25_sums(terms: DataFrame, hits: DataFrame, stats: DataFrame, small=F.broadcast) -> DataFrame:
+def matched(queries: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame, bool]:
+    """(query terms, analysed texts with the postings of those terms, whether the terms are few).
+
+    One pass over the texts, written once: lengths, frequencies and scores are all taken from it.
+    """
+    terms = query_terms(queries, corpus.stems)
+    known = terms.limit(ONLY_TERMS + 1).collect()
+    if len(known) <= ONLY_TERMS:
+        terms = terms.sparkSession.createDataFrame(known, "qid long, term string, qtf int")
+        return terms, cut_lineage(analysed(corpus, frozenset(r.term for r in known))), True
+    docs = analysed(corpus)
+    wanted = terms.select("term").distinct()
+    # every text keeps its row, so that lengths are counted over all of them
+    hits = postings(docs).join(wanted, "term", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    return terms, cut_lineage(docs.drop("p").join(hits, "id", "left")), False
+
+
+def bm25_sums(terms: DataFrame, hits: DataFrame, stats: DataFrame, few: bool = True) -> DataFrame:
     """(qid, id, score) of every document that a query reaches, from query terms, their postings and one row of statistics (n, avgdl)."""
-    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both uses share an exchange
+    small = F.broadcast if few else (lambda x: x)  # frequencies have no more rows than the query terms
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(stats))  # stats: one row
     return scored.groupBy("qid", "id").agg(F.round(F.sum(weight), 5).alias("score")).where("score > 0")
 
 
-def bm25_scores(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int, small=F.broadcast) -> DataFrame:
+def best_of(sums: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the best ``k`` of :func:`bm25_sums`."""
-    return ranked(bm25_sums(terms, hits, stats, small), ["qid"], [F.col("score").desc(), F.col("id")], k)
+    return ranked(sums, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def bm25(queries: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """(qid, id, score, rank): the best ``k`` documents of each query (qid, text)."""
-    terms = query_terms(queries)
-    small = F.broadcast if is_small(terms) else (lambda x: x)  # frequencies have no more rows than the query terms
-    return bm25_scores(terms, postings(docs, small(terms.select("term").distinct())), corpus_stats(docs), k, small)
+    terms, docs, few = matched(queries, corpus)
+    return best_of(bm25_sums(terms, postings(docs), corpus_stats(docs), few), k)
 
 
-def bm25_within(queries: DataFrame, docs: DataFrame, group: Column, k: int) -> DataFrame:
+def bm25_within(queries: DataFrame, corpus: Corpus, group: Column, k: int) -> DataFrame:
     """(qid, doc_id, id, score, n): the best ``k`` of each group that a query reaches; nothing is cut before."""
-    terms = query_terms(queries)
-    small = F.broadcast if is_small(terms) else (lambda x: x)
-    hits = cut_lineage(postings(docs, small(terms.select("term").distinct())))  # used twice, and dear to make
-    sums = bm25_sums(terms, hits, corpus_stats(docs), small)
+    terms, docs, few = matched(queries, corpus)
+    sums = bm25_sums(terms, postings(docs), corpus_stats(docs), few)
     best = ranked(sums.withColumn("doc_id", group), ["qid", "doc_id"], [F.col("score").desc(), F.col("id")], k, "n")
     return best.select("qid", "doc_id", "id", "score", "n")
 
 
-#: How tokens are made; stored with an index, and compared when it is opened.
-TOKENS_AS = "fold,thousands,split-digits,no-stem"
+# -- stored indexes: postings sorted by term, one row for each document, one row of sums for each build or append
+
+
+def _tokens_as(stems: bool) -> str:
+    return K.VERSION + (",stems" if stems else "")
+
 
+def _add_segment(docs: DataFrame, stems: bool, path: str) -> None:
+    flat = postings(docs)
+    # ranges over (term, id): the postings of a common term are parted too, and a term's files can be told from their bounds
+    with shuffles_of(docs.sparkSession, 8.0 * input_bytes(docs)):
+        flat.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").parquet(f"{path}/postings")
+    docs.select("id", "dl").write.mode("append").parquet(f"{path}/docs")
+    sums = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
+    sums.withColumn("tokens_as", F.lit(_tokens_as(stems))).coalesce(1).write.mode("append").parquet(f"{path}/stats")
 
-def build_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings hashed and sorted by term, and the corpus statistics, as tables under ``path``."""
-    write_index(postings(docs), f"{path}/postings", "term", buckets)
-    corpus_stats(docs).withColumn("tokens_as", F.lit(TOKENS_AS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
+def build_index(corpus: Corpus, path: str) -> None:
+    """An index under ``path``, which must be empty."""
+    _add_segment(cut_lineage(analysed(corpus)), corpus.stems, path)
 
-def append_to_index(docs: DataFrame, path: str, out: str, buckets: int = 64) -> None:
-    """A new index with the documents that the old one lacks; statistics are added, nothing is tokenised again."""
-    spark = docs.sparkSession
-    old, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats").first()
-    new = docs.join(old.select("id").distinct(), "id", "left_anti")
-    write_index(old.unionByName(postings(new)), f"{out}/postings", "term", buckets)
-    more = corpus_stats(new).first()
-    n = stats.n + more.n
-    total = stats.n * (stats.avgdl or 0.0) + more.n * (more.avgdl or 0.0)
-    row = spark.createDataFrame([(n, total / n if n else None, TOKENS_AS)], "n long, avgdl double, tokens_as string")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{out}/stats")
 
+def append_to_index(corpus: Corpus, path: str) -> None:
+    """Add the documents that the index lacks, as further files; what is there is neither read again nor rewritten. A document
+    without a token counts once, like any other."""
+    spark = corpus.rows.sparkSession
+    _check(spark.read.parquet(f"{path}/stats"), corpus.stems)
+    known = spark.read.parquet(f"{path}/docs").select("id")
+    new = replace(corpus, rows=corpus.rows.join(known, "id", "left_anti"))
+    _add_segment(cut_lineage(analysed(new)), corpus.stems, path)
 
-def search_index(queries: DataFrame, path: str, k: int) -> DataFrame:
+
+def _check(stats: DataFrame, stems: bool) -> None:
+    if {r.tokens_as for r in stats.select("tokens_as").distinct().collect()} != {_tokens_as(stems)}:
+        raise ValueError("the index was built with other tokens")
+
+
+def search_index(queries: DataFrame, path: str, k: int, stems: bool = False) -> DataFrame:
     """BM25 on a stored index; only row groups that hold query terms are read when the terms are few."""
     spark = queries.sparkSession
     stats = spark.read.parquet(f"{path}/stats")
-    if stats.first().tokens_as != TOKENS_AS:
-        raise ValueError("the index was built with other tokens")
-    terms = query_terms(queries)
-    few = terms.select("term").distinct().limit(2001).collect()
+    _check(stats, stems)
+    sums = stats.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+    terms = query_terms(queries, stems)
+    known = terms.limit(2001).collect()
     hits = spark.read.parquet(f"{path}/postings")
-    if len(few) <= 2000:
-        hits = hits.where(F.col("term").isin([r.term for r in few]))
-        return bm25_scores(terms, hits, stats.select("n", "avgdl"), k)
-    hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
-    return bm25_scores(terms, hits, stats.select("n", "avgdl"), k, lambda x: x)
+    few = len(known) <= 2000
+    if few:
+        terms = spark.createDataFrame(known, "qid long, term string, qtf int")
+        hits = hits.where(F.col("term").isin(sorted({r.term for r in known})))
+    else:
+        hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    return best_of(bm25_sums(terms, hits, sums, few), k)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, rank: str = "rank") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import ACCENTED, PLAIN
+from ..functions.tokens import CHAMBERS
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -31,11 +32,17 @@ def fold(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    """Index tokens in SQL without look-around: a thousands group is joined by repeated replacement."""
-    y = fold(x)
+    """Index tokens in SQL without look-around: groups that share a digit are joined by repeated replacement."""
+    y = f"strip_accents(lower({x}))"
     for _ in range(3):
-        y = rf"regexp_replace({y}, '(\d)\.(\d\d\d)([^\d]|$)', '\1\2\3', 'g')"
-    return rf"regexp_extract_all(regexp_replace({y}, '([\p{{L}}\p{{N}}])[-.](\d)', '\1 \2', 'g'), '[\p{{L}}\p{{N}}]+')"
+        y = rf"regexp_replace({y}, '(\d)\.(\d\d\d)\b', '\1\2', 'g')"
+    ruling = rf"\b({'|'.join(CHAMBERS)})\s*-\s*0*(\d{{1,5}})([a-z]?)"
+    year = r"\s*(?:/|-|\bde\b|\bdel\b)\s*"
+    for tail, full in ((rf"{year}(\d{{4}})\b", r"\4"), (rf"{year}([0-4]\d)\b", r"20\4"), (rf"{year}([5-9]\d)\b", r"19\4"), ("", "")):
+        y = rf"regexp_replace({y}, '{ruling}{tail}', ' \1_\2\3 {full} ', 'g')"
+    for _ in range(2):
+        y = rf"regexp_replace({y}, '([\p{{L}}\p{{N}}_])[-.](\d)', '\1_\2', 'g')"
+    return rf"regexp_extract_all({y}, '[\p{{L}}\p{{N}}_]+')"
 
 
 #: Distinct chunks.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
 from ..operators import vectors as V
-from ..session import cut_lineage, plain_union
-from ..sources.tables import chunks, lookup, passages, table
+from ..session import shared_folder
+from ..sources.tables import chunks, passages, table
 from .common import CH, PA, j, query, tokens
 
 _D = f"d AS (SELECT chunk_id AS id, {tokens(j('texto'))} AS toks FROM ch WHERE {j('texto')} IS NOT NULL)"
@@ -32,30 +35,65 @@ def _questions(spark, sf):
     return table(spark, sf, "preguntas").where("id % 20 = 0 and pregunta is not null").select(F.col("id").alias("qid"), F.col("pregunta").alias("text"))
 
 
-def _corpus(spark, sf, norms: bool = False):
-    rows = chunks(spark, sf, "texto", *["tipo_documento"] * norms).where("texto is not null")
-    return S.documents(rows.where("coalesce(tipo_documento, '') <> 'sentencia'") if norms else rows)
+def _corpus(spark, sf, norms: bool = False, stems: bool = False, fields: tuple[str, ...] = ()):
+    """All chunks, or those of norms, as they stand in the table."""
+    rows = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), F.col("datos").alias("text"))
+    if norms:
+        rows = rows.where(F.coalesce(F.get_json_object("text", "$.tipo_documento"), F.lit("")) != "sentencia")
+    return S.Corpus(rows, stems, fields)
 
 
 @query(f"WITH {CH}, {_D}, p AS (SELECT id, unnest(toks) AS term FROM d) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY term")
 def bm25_terms(spark, sf):
     """Document and collection frequency of every term."""
-    p = S.postings(_corpus(spark, sf))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.postings(S.analysed(_corpus(spark, sf))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH {CH}, {_D} SELECT id, CAST(len(toks) AS INTEGER) AS n, md5(array_to_string(list_sort(list_distinct(toks)), ' ')) AS huella FROM d")
+def index_tokens(spark, sf):
+    """Tokens of every chunk, with rulings and numbered identifiers whole."""
+    docs = S.analysed(_corpus(spark, sf))
+    return docs.select("id", F.col("dl").alias("n"), F.md5(F.array_join(F.array_sort(F.col("p.term")), " ")).alias("huella"))
+
+
+@query()
+def stemmed_terms(spark, sf):
+    """Document frequency of every stem."""
+    return S.postings(S.analysed(_corpus(spark, sf, stems=True))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {CH}, {_D} SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl, CAST(sum(len(toks)) AS BIGINT) AS largo FROM d")
 def bm25_stats(spark, sf):
     """Size and mean length of the corpus."""
-    return _corpus(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("largo"))
+    docs = S.analysed(_corpus(spark, sf), frozenset())
+    return docs.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("largo"))
+
 
+_TOP10 = f"WITH {CH}, {_ask()}, {_bm25(_D, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r"
 
-@query(f"WITH {CH}, {_ask()}, {_bm25(_D, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r")
+
+@query(_TOP10)
 def bm25_top10(spark, sf):
     """The ten best chunks of each question."""
     return S.bm25(_questions(spark, sf), _corpus(spark, sf), 10)
 
 
+@query()
+def bm25_stems_top10(spark, sf):
+    """The same with Spanish stems on both sides."""
+    return S.bm25(_questions(spark, sf), _corpus(spark, sf, stems=True), 10)
+
+
+@query(_TOP10)
+def bm25_stored_top10(spark, sf):
+    """The same from a stored index, built of a first half of the chunks and grown by all of them."""
+    corpus = _corpus(spark, sf)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    S.build_index(replace(corpus, rows=corpus.rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)), path)
+    S.append_to_index(corpus, path)
+    return S.search_index(_questions(spark, sf), path, 10)
+
+
 @query(f"WITH {CH}, {_ask()}, {_bm25(_N, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r")
 def bm25_norms_top10(spark, sf):
     """The same on the sub-corpus of norms, with its own frequencies and mean length."""
@@ -69,17 +107,12 @@ def bm25_norms_top10(spark, sf):
     SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 150"""
 )
 def rrf_fusion(spark, sf):
-    """Two lists fused by reciprocal rank, cut to the candidate pool."""
-    rows = chunks(spark, sf, "texto", "tipo_documento").where("texto is not null")
-    docs = rows.select(F.col("chunk_id").alias("id"), T.tokens("texto").alias("toks"), (F.coalesce("tipo_documento", F.lit("")) != "sentencia").alias("norma")).withColumn("dl", F.size("toks"))
-    terms = S.query_terms(_questions(spark, sf))
-    # both lists come from one pass over the texts: only the postings of query words are kept
-    flat = docs.select("id", "dl", "norma", F.explode("toks").alias("term")).join(lookup(terms.select("term").distinct()), "term", "left_semi")
-    hits = cut_lineage(flat.groupBy("id", "term", "dl", "norma").agg(F.count("*").alias("tf")))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.count_if("norma").alias("nn"), F.avg(F.when(F.col("norma"), F.col("dl"))).alias("navgdl"))
-    every = S.bm25_scores(terms, hits, stats.select("n", "avgdl"), 100)
-    norms = S.bm25_scores(terms, hits.where("norma"), stats.select(F.col("nn").alias("n"), F.col("navgdl").alias("avgdl")), 50)
-    return S.rrf([every, norms]).where("rank <= 150")
+    """Two lists fused by reciprocal rank, cut to the candidate pool. Both come from one pass over the texts."""
+    terms, docs, few = S.matched(_questions(spark, sf), _corpus(spark, sf, fields=("tipo_documento",)))
+    norms = docs.where("coalesce(tipo_documento, '') <> 'sentencia'")
+    every = S.best_of(S.bm25_sums(terms, S.postings(docs), S.corpus_stats(docs), few), 100)
+    own = S.best_of(S.bm25_sums(terms, S.postings(norms), S.corpus_stats(norms), few), 50)
+    return S.rrf([every, own]).where("rank <= 150")
 
 
 @query(f"WITH {PA} SELECT pasaje_id, round(score / max(score) OVER (PARTITION BY pregunta_id), 6) AS relativo FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL")
@@ -217,8 +250,9 @@ def index_verify(spark, sf):
 
 @query(f"WITH {CH}, {_D}, p AS (SELECT DISTINCT id, unnest(toks) AS term FROM d) SELECT term, count(*) AS df FROM p GROUP BY term")
 def incremental_append(spark, sf):
-    """Frequencies of an index grown in two steps: the statistics of the chunks that are not indexed yet are added."""
-    rows = chunks(spark, sf, "texto", "inicio").where("texto is not null")
-    old, new = rows.where("inicio is not null"), rows.join(rows.where("inicio is not null").select("chunk_id"), "chunk_id", "left_anti")
-    parts = [S.postings(S.documents(x)).groupBy("term").agg(F.count("*").alias("df")) for x in (old, new)]
-    return plain_union(*parts, by=["term"]).groupBy("term").agg(F.sum("df").alias("df"))
+    """Frequencies of an index that was grown: only chunks that it lacks are tokenised and added as files."""
+    corpus = _corpus(spark, sf)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    S.build_index(replace(corpus, rows=corpus.rows.where(F.get_json_object("text", "$.inicio").isNotNull())), path)
+    S.append_to_index(corpus, path)
+    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))

@@ -65,16 +65,28 @@ def test_bm25_by_hand(spark):
 
 
 def test_stored_index(spark, tmp_path):
-    rows = [(f"c{i}", f"ley {i % 7} dos {'tres ' * (i % 5)}") for i in range(60)]
-    df = spark.createDataFrame(rows, "chunk_id string, texto string")
+    rows = [(f"c{i}", f"ley {i % 7} dos {'tres ' * (i % 5)}") for i in range(60)] + [("vacío", "…"), ("nulo", None)]
+    df = spark.createDataFrame(rows * 2, "chunk_id string, texto string")
     asks = spark.createDataFrame([(1, "ley 3 tres"), (2, "nada")], "qid long, text string")
-    S.build_index(S.documents(df.limit(25)), str(tmp_path / "a"), 4)
-    S.append_to_index(S.documents(df), str(tmp_path / "a"), str(tmp_path / "b"), 4)
-    got = [tuple(r) for r in S.search_index(asks, str(tmp_path / "b"), 20).orderBy("qid", "rank").collect()]
+    path = str(tmp_path / "a")
+    S.build_index(S.documents(df.limit(25)), path)
+    before = set((tmp_path / "a/postings").iterdir())
+    S.append_to_index(S.documents(df), path)
+    S.append_to_index(S.documents(df), path)  # nothing is new, nothing counts again
+    assert before < set((tmp_path / "a/postings").iterdir())
+    assert spark.read.parquet(f"{path}/stats").agg(F.sum("n")).first()[0] == 61
+    got = [tuple(r) for r in S.search_index(asks, path, 20).orderBy("qid", "rank").collect()]
     assert got and got == [tuple(r) for r in S.bm25(asks, S.documents(df), 20).orderBy("qid", "rank").collect()]
-    spark.createDataFrame([(1, 1.0, "otra")], "n long, avgdl double, tokens_as string").write.mode("overwrite").parquet(str(tmp_path / "b/stats"))
     with pytest.raises(ValueError):
-        S.search_index(asks, str(tmp_path / "b"), 20)
+        S.search_index(asks, path, 20, stems=True)
+
+
+def test_many_query_terms_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{i}", f"ley {i % 7} dos {'tres ' * (i % 5)}") for i in range(60)], "chunk_id string, texto string")
+    asks = spark.createDataFrame([(1, "ley 3 tres"), (2, "dos dos")], "qid long, text string")
+    few = S.bm25(asks, S.documents(df), 7).orderBy("qid", "rank").collect()
+    monkeypatch.setattr(S, "ONLY_TERMS", 1)
+    assert S.bm25(asks, S.documents(df), 7).orderBy("qid", "rank").collect() == few
 
 
 def test_diverse_caps(spark):

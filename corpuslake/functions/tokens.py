@@ -13,13 +13,15 @@ from functools import lru_cache
 
 from .stem import stem
 
-_ACCENTS = str.maketrans("áàâãéèêëíìîïóòôõúùûüñç", "aaaaeeeeiiiioooouuuunc")
+_COMMON = tuple(zip("áéíóúñü", "aeiounu"))
+_UNMARKED = re.compile(r"[\x00-\x7fºª°«»“”‘’–—…·•¿¡§©›→]*")  # none of these has an accent to remove
 _MARKS = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃥⃜⃡-⃰︠-︯]+")
 # The chambers whose rulings are identifiers, and the shapes that are joined.
 CHAMBERS = "su sc sl sp stc stl stp ac al ap c t".split()
 _RULING = re.compile(r"\b(" + "|".join(CHAMBERS) + r")\s*-\s*0*(\d{1,5})([a-z]?)(?:\s*(?:/|-|\bde\b|\bdel\b)\s*(\d{4}|\d{2})\b)?")
-_THOUSANDS = re.compile(r"(?<=\d)\.(?=\d{3}\b)")
-_JOINED = re.compile(r"(?<=\w)[-.](?=\d)")
+_THOUSANDS = re.compile(r"\.(?<=\d\.)(?=\d{3}\b)")  # the literals first: they are what the scan looks for
+_JOINED = re.compile(r"[-.](?<=\w[-.])(?=\d)")
+_DASHED = re.compile(r"-\s*\d")
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
 #: How tokens are made; stored with an index, and compared when it is opened.
@@ -35,8 +37,10 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    text = text.translate(_ACCENTS)
-    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text))
+    for accented, plain in _COMMON:  # replacement is ten times faster than a table
+        if accented in text:
+            text = text.replace(accented, plain)
+    return text if _UNMARKED.fullmatch(text) else _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 _stem = lru_cache(1 << 18)(stem)
@@ -48,7 +52,7 @@ def tokens(text: str, stems: bool = False) -> list[str]:
     if _DIGIT.search(s):
         if "." in s:
             s = _THOUSANDS.sub("", s)
-        if "-" in s:
+        if "-" in s and _DASHED.search(s):
             s = _RULING.sub(lambda m: f" {m[1]}_{m[2]}{m[3]} {full_year(m[4] or '')} ", s)
         s = _JOINED.sub("_", s)
     words = _WORD.findall(s)

@@ -66,7 +66,7 @@ def analysed(corpus: Corpus, only: frozenset[str] | None = None) -> DataFrame:
                 if not isinstance(text, str):
                     continue
                 toks = K.tokens(text, stems)
-                tf = Counter(toks if only is None else [t for t in toks if t in only])
+                tf = Counter(toks if only is None else filter(only.__contains__, toks))
                 row = [key, *(own.get(f) for f in fields), len(toks), [{"term": t, "tf": n} for t, n in sorted(tf.items())]]
                 for col, v in zip(out, row):
                     col.append(v)

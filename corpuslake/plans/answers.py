@@ -119,21 +119,6 @@ def consulted_norms(spark, sf):
     return r.groupBy("cuerpo").agg(F.count_distinct("articulo").alias("articulos"), F.count("*").alias("preguntas")).join(firsts, "cuerpo")
 
 
-_SC = rf"""q AS (SELECT id, {fold("coalesce(respuesta_esperada, texto_respuesta_correcta, '') || ' ' || coalesce(legal_basis, '')")} AS x, {fold("coalesce(legal_basis, '')")} AS k FROM preguntas),
-    r AS (SELECT id, list_distinct(regexp_extract_all(k, 'articulo [0-9.]+')) AS ref, list_distinct(regexp_extract_all(x, 'articulo [0-9.]+')) AS cit FROM q)"""
-
-
-@query(f"WITH {_SC} SELECT CAST(sum(len(ref)) AS BIGINT) AS n_ref, CAST(sum(len(cit)) AS BIGINT) AS n_citadas, CAST(sum(len(list_intersect(ref, cit))) AS BIGINT) AS aciertos, round(20 * greatest(0, sum(len(list_intersect(ref, cit))) / CAST(greatest(sum(len(ref)), 1) AS DOUBLE) - 2.0 * (sum(len(cit)) - sum(len(list_intersect(ref, cit)))) / greatest(sum(len(cit)), 1)), 4) AS puntos FROM r")
-def citation_score(spark, sf):
-    """Citations of answers against the reference, as micro sums."""
-    q = table(spark, sf, "preguntas")
-    x = T.fold(F.concat(F.coalesce("respuesta_esperada", "texto_respuesta_correcta", F.lit("")), F.lit(" "), F.coalesce("legal_basis", F.lit(""))))
-    found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("articulo [0-9.]+"), F.lit(0)))
-    r = q.select(found(T.fold(F.coalesce("legal_basis", F.lit("")))).alias("ref"), found(x).alias("cit"))
-    g = r.agg(F.sum(F.size("ref")).alias("n_ref"), F.sum(F.size("cit")).alias("n_citadas"), F.sum(F.size(F.array_intersect("ref", "cit"))).alias("aciertos"))
-    return g.withColumn("puntos", F.expr("round(20 * greatest(cast(0 as double), aciertos / greatest(n_ref, 1) - 2.0D * (n_citadas - aciertos) / greatest(n_citadas, 1)), 4)"))
-
-
 @query("WITH c AS (SELECT 'cerradas' AS parte, 20.0 AS peso, count(*) FILTER (formato = 'multiple_choice') AS n FROM preguntas UNION ALL SELECT 'abiertas', 30.0, count(*) FILTER (formato = 'open_ended') FROM preguntas UNION ALL SELECT 'sin evaluar', 10.0, NULL), p AS (SELECT *, CASE WHEN n IS NOT NULL THEN peso * n / 400.0 END AS puntos FROM c) SELECT CAST(round(sum(puntos), 4) AS DOUBLE) AS puntos, CAST(round(sum(peso) FILTER (puntos IS NOT NULL), 4) AS DOUBLE) AS posibles FROM p")
 def score_report(spark, sf):
     """Points and possible points; parts without a score don't count."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, citations, corpus, extras, manifests, retrieval, scoring, search  # noqa: F401  (they register their queries)
+from . import answers, chunking, citations, corpus, extras, manifests, retrieval, scoring, search  # noqa: F401  (they register their queries)
 from .common import SQL, Q
 
 

@@ -13,8 +13,12 @@ from .search import ranked
 
 #: Query vectors that go to every task at once; more are searched in blocks.
 QUERY_BLOCK = 4096
-#: Vectors that the centroids are fitted on.
-FIT_ROWS = 20_000
+#: Vectors that the centroids are fitted on, and of those, the ones that the number of probes is fitted on.
+FIT_ROWS, PROBE_ROWS = 20_000, 1000
+#: Share of a fitted vector's neighbours that the probed cells must hold.
+TARGET = 0.95
+#: Most cells; up to it they are about the square root of the number of vectors.
+MOST_CELLS = 4096
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -49,12 +53,17 @@ def _partial(vectors: DataFrame, ids: list[int], matrix: np.ndarray, k: int) ->
     return vectors.mapInPandas(run, "qid long, id long, score double")
 
 
-def centroids(vectors: DataFrame, n: int, vec_col: str = "embedding", id_col: str = "vec_id", rounds: int = 12) -> np.ndarray:
-    """Spherical k-means of about ``FIT_ROWS`` vectors, chosen by a hash of the id."""
+def sampled(vectors: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> tuple[np.ndarray, int]:
+    """About ``FIT_ROWS`` vectors, chosen by a hash of the id, and the number of all."""
     total = vectors.count()
     share = min(1.0, FIT_ROWS / max(1, total))
     picked = vectors.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(id_col).select(vec_col).collect()
-    x = np.array([r[0] for r in picked if r[0]], np.float64)
+    x = [r[0] for r in picked if r[0]]
+    return (np.array(x, np.float64) if x else np.zeros((0, 0))), total
+
+
+def centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of ``x``."""
     if not len(x):
         return np.zeros((0, 0))
     rng = np.random.default_rng(0)
@@ -69,6 +78,19 @@ def centroids(vectors: DataFrame, n: int, vec_col: str = "embedding", id_col: st
     return c
 
 
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The least number of cells, nearest first, that hold ``target`` of the ``k`` nearest neighbours of the sample's vectors."""
+    if len(x) < 2 or not len(c):
+        return 1
+    asks = x[np.linspace(0, len(x) - 1, min(PROBE_ROWS, len(x))).astype(int)]
+    near = np.argsort(-(asks @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
+    cell = (x @ c.T).argmax(1)
+    place = np.empty((len(asks), len(c)), int)
+    np.put_along_axis(place, np.argsort(-(asks @ c.T), axis=1, kind="stable"), np.arange(len(c))[None], 1)
+    depth = np.sort(np.take_along_axis(place, cell[near], 1).ravel())
+    return int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))) - 1)]) + 1
+
+
 def assign(vectors: DataFrame, c: np.ndarray, probes: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v, cell): each vector with its ``probes`` nearest cells."""
 
@@ -82,11 +104,13 @@ def assign(vectors: DataFrame, c: np.ndarray, probes: int, id_col: str = "vec_id
     return vectors.select(id_col, vec_col).mapInPandas(run, "id long, v array<float>, cell int")
 
 
-def ivf_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probes: int = 8) -> DataFrame:
-    """(qid, id, score, rank): every vector is indexed in its nearest cell, a query looks into ``probes`` cells."""
-    c = centroids(vectors, cells)
+def ivf_top_k(queries: DataFrame, vectors: DataFrame, k: int, target: float = TARGET) -> DataFrame:
+    """(qid, id, score, rank): every vector is indexed in its nearest cell, a query looks into the cells that the sample
+    asks for (see :func:`probes_for`). A crowded cell is a skewed join key, which adaptive execution splits."""
+    x, total = sampled(vectors)
+    c = centroids(x, max(1, min(MOST_CELLS, round(total**0.5))))
     index = assign(vectors, c, 1).select("id", F.col("v").alias("w"), "cell")
-    asks = assign(queries, c, probes).select(F.col("id").alias("qid"), "v", "cell")
+    asks = assign(queries, c, probes_for(x, c, k, target)).select(F.col("id").alias("qid"), "v", "cell")
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     hits = index.join(asks, "cell").where("qid != id").select("qid", "id", F.round(dot, 4).alias("score"))
     return ranked(hits, ["qid"], [F.col("score").desc(), F.col("id")], k)

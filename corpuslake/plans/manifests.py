@@ -146,7 +146,7 @@ def session_windows(spark, sf):
     return got.select("user_id", "n", F.date_format("inicio", "yyyy-MM-dd HH:mm:ss").alias("desde"))
 
 
-@query()
+@query("SELECT tipo_chunk, count(DISTINCT chunk_id) AS n FROM chunks WHERE chunk_id IS NOT NULL GROUP BY tipo_chunk")
 def stream_append(spark, sf):
     """Landed chunk rows read as a stream, rows sent again dropped by a watermarked key, counted by kind."""
     return windows.append_chunks(spark, sf)

@@ -211,6 +211,16 @@ def ivf_recall(spark, sf):
     return V.recall(V.ivf_top_k(asks, e, 10), V.exact_top_k(asks, e, 10))
 
 
+@query("SELECT count(*) AS preguntas, true AS basta FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall_enough(spark, sf):
+    """Whether the inverted file finds at least nine tenths of the exact neighbours of all questions asked."""
+    e = table(spark, sf, "embeddings")
+    asks = e.where("vec_id % 20 = 0")
+    got = V.recall(V.ivf_top_k(asks, e, 10), V.exact_top_k(asks, e, 10))
+    n = asks.agg(F.count("*").alias("preguntas"))
+    return n.crossJoin(F.broadcast(got)).select("preguntas", (F.col("recuerdo") >= 0.9).alias("basta"))  # one row each
+
+
 @query(
     rf"""WITH {PA}, o AS (SELECT *, row_number() OVER (PARTITION BY pregunta_id ORDER BY score DESC, id, pasaje_id) AS n FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL AND texto IS NOT NULL),
     s AS (SELECT pregunta_id, pasaje_id, n, regexp_extract_all(lower(CASE WHEN strpos(texto, chr(10)) > 0 THEN substr(texto, strpos(texto, chr(10)) + 1) ELSE texto END), '[\p{{L}}\p{{N}}_]+') AS ws FROM o WHERE n <= 10),
@@ -226,7 +236,13 @@ def containment_with_best(spark, sf):
     return first.join(sh.where("n > 1"), "pregunta_id").select("pregunta_id", "pasaje_id", F.round(T.containment("a", "sh"), 4).alias("contencion"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PA}, o AS (SELECT pregunta_id, length(texto) AS n, row_number() OVER (PARTITION BY pregunta_id ORDER BY score DESC, id, pasaje_id) AS k FROM pa WHERE score IS NOT NULL AND NOT isnan(score) AND pregunta_id IS NOT NULL AND texto IS NOT NULL),
+    l AS (SELECT pregunta_id, list_sort(list(n)) AS l FROM o WHERE k <= 10 GROUP BY pregunta_id),
+    w AS (SELECT pregunta_id, l, 1 AS i, CAST(6000 AS BIGINT) AS resto, CAST([] AS BIGINT[]) AS cupos FROM l
+      UNION ALL SELECT pregunta_id, l, i + 1, resto - least(l[i], resto // (len(l) - i + 1)), list_append(cupos, CAST(least(l[i], resto // (len(l) - i + 1)) AS BIGINT)) FROM w WHERE i <= len(l))
+    SELECT pregunta_id, cupos FROM w WHERE i > len(l)"""
+)
 def budget_waterfill(spark, sf):
     """A prompt's 6,000 characters shared among the ten best passages of each question."""
     rows = passages(spark, sf).where("score is not null and not isnan(score) and pregunta_id is not null and texto is not null")

@@ -241,13 +241,17 @@ def expand_parts(chunks: DataFrame) -> DataFrame:
 
 
 def diverse(pool: DataFrame, k: int = 10, per_doc: int = 3, rulings: int = 4, overlap: float = 0.7, pool_size: int = 150) -> DataFrame:
-    """Greedy choice of ``k`` passages for each query from (qid, id, doc_id, unit, ruling, article, score, sh).
+    """Greedy choice of ``k`` passages for each query from (qid, id, doc_id, unit, ruling, article, score, sh), and where
+    they are given, ``forced`` (these go in first) and ``cited`` (these are spared the cap on rulings).
 
     At most ``per_doc`` of a document and one of a unit; rulings over the cap are deferred and used only if places stay
     free; a passage that is no article is left out if it shares too much with a chosen one. A query's pool is cut to
     ``pool_size`` by a window first, so that a group is small whatever the input.
     """
-    best = ranked(pool, ["qid"], [F.col("score").desc(), F.col("id")], pool_size, "__r")
+    for flag in ("forced", "cited"):
+        if flag not in pool.columns:
+            pool = pool.withColumn(flag, F.lit(False))
+    best = ranked(pool, ["qid"], [F.col("forced").desc(), F.col("score").desc(), F.col("id")], pool_size, "__r")
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         chosen: list[int] = []
@@ -269,11 +273,14 @@ def diverse(pool: DataFrame, k: int = 10, per_doc: int = 3, rulings: int = 4, ov
             return bool(row["article"]) or all(len(sh & s) / max(1, min(len(sh), len(s))) < overlap for s in seen)
 
         for i, row in enumerate(rows):
-            if len(chosen) == k:
+            if row["forced"] and allowed(row):
+                take(i)
+        for i, row in enumerate(rows):
+            if len(chosen) >= k:
                 break
             if not allowed(row):
                 continue
-            if row["ruling"] and n_rulings >= rulings:
+            if row["ruling"] and n_rulings >= rulings and not row["cited"]:
                 deferred.append(i)
                 continue
             n_rulings += bool(row["ruling"])
@@ -281,7 +288,7 @@ def diverse(pool: DataFrame, k: int = 10, per_doc: int = 3, rulings: int = 4, ov
         for i in deferred:
             if len(chosen) < k and allowed(rows[i]):
                 take(i)
-        out = frame.sort_values("__r").iloc[sorted(chosen)]
+        out = frame.sort_values("__r").iloc[sorted(chosen)].sort_values(["score", "id"], ascending=[False, True], kind="stable")
         return pd.DataFrame({"qid": out.qid, "id": out.id, "doc_id": out.doc_id, "score": out.score, "rank": range(1, len(out) + 1)})
 
     return best.groupBy("qid").applyInPandas(pick, "qid long, id string, doc_id string, score double, rank int")

@@ -121,7 +121,7 @@ def consulted_norms(spark, sf):
 
 @query("WITH c AS (SELECT 'cerradas' AS parte, 20.0 AS peso, count(*) FILTER (formato = 'multiple_choice') AS n FROM preguntas UNION ALL SELECT 'abiertas', 30.0, count(*) FILTER (formato = 'open_ended') FROM preguntas UNION ALL SELECT 'sin evaluar', 10.0, NULL), p AS (SELECT *, CASE WHEN n IS NOT NULL THEN peso * n / 400.0 END AS puntos FROM c) SELECT CAST(round(sum(puntos), 4) AS DOUBLE) AS puntos, CAST(round(sum(peso) FILTER (puntos IS NOT NULL), 4) AS DOUBLE) AS posibles FROM p")
 def score_report(spark, sf):
-    """Points and possible points; parts without a score don't count."""
+    """Points and possible points; parts without a score don't count."""
     q = table(spark, sf, "preguntas")
     parts = [("cerradas", 20.0, F.count_if(F.col("formato") == "multiple_choice")), ("abiertas", 30.0, F.count_if(F.col("formato") == "open_ended")), ("sin evaluar", 10.0, F.lit(None).cast("long"))]
     g = q.agg(F.array(*[F.struct(F.lit(n).alias("parte"), F.lit(w).alias("peso"), c.alias("n")) for n, w, c in parts]).alias("p")).select(F.inline("p"))
@@ -131,14 +131,14 @@ def score_report(spark, sf):
 
 @query(f"WITH {PA}, v AS (SELECT pasaje_id, split_part(doc_id, '_', 1) AS juez, score >= 0.5 AS voto, json_extract_string(metadatos, '$.vigencia') = 'derogada' AS mala FROM pa WHERE score IS NOT NULL AND NOT isnan(score)) SELECT juez, count(*) AS n, round(count(*) FILTER (voto <> coalesce(mala, false)) / CAST(count(*) AS DOUBLE), 4) AS acuerdo, count(*) FILTER (mala AND NOT voto) AS rechazos FROM v GROUP BY juez")
 def judge_agreement(spark, sf):
-    """Agreement of each judge with what is known, three-valued."""
+    """Agreement of each judge with what is known, three-valued."""
     v = passages(spark, sf).where("score is not null and not isnan(score)").select(F.substring_index("doc_id", "_", 1).alias("juez"), (F.col("score") >= 0.5).alias("voto"), (F.get_json_object("metadatos", "$.vigencia") == "derogada").alias("mala"))
     return v.groupBy("juez").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("voto") != F.coalesce("mala", F.lit(False))) / F.count("*"), 4).alias("acuerdo"), F.count_if(F.col("mala") & ~F.col("voto")).alias("rechazos"))
 
 
 @query("WITH s(seleccion) AS (VALUES ('todo'), ('normas')), e(codificador) AS (VALUES ('a'), ('b')), p(perfil) AS (VALUES ('base'), ('topes')), f AS (SELECT DISTINCT formato FROM preguntas WHERE formato IS NOT NULL) SELECT array_to_string(list_filter([seleccion, codificador, perfil], lambda x: x <> 'base'), '__') AS brazo, formato FROM s, e, p, f")
 def benchmark_arms(spark, sf):
-    """Arms of a benchmark from a few options, named without the base profile."""
+    """R19 (names only): arms of a benchmark from a few options, named without the base profile."""
     options = {"seleccion": ["todo", "normas"], "codificador": ["a", "b"], "perfil": ["base", "topes"]}
     rows = table(spark, sf, "preguntas").where("formato is not null").select("formato").distinct()
     for name, values in options.items():

@@ -114,7 +114,7 @@ def tolerant_parse(spark, sf):
 
 @query("WITH e(clave, indice) AS (VALUES ('pliega', true), ('une_millares', true), ('raices', false), ('vacias', false)), l(clave, lector) AS (VALUES ('pliega', true), ('une_millares', true), ('raices', true), ('vacias', false)) SELECT clave, indice, lector, indice = lector AS concuerda FROM e JOIN l USING (clave)")
 def index_settings(spark, sf):
-    """Settings stored with an index against a reader's; a reader must refuse an index that differs."""
+    """Settings stored with an index against a reader's; a reader must refuse an index that differs."""
     kept = spark.createDataFrame(list(TOKENIZER.items()), "clave string, indice boolean")
     own = spark.createDataFrame(list((TOKENIZER | {"raices": True}).items()), "clave string, lector boolean")
     return kept.join(lookup(own), "clave").withColumn("concuerda", F.col("indice") == F.col("lector"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import citations as C
+from ..operators import cite, evaluate
 from ..operators import search as S
 from ..sources.tables import chunks, manifest, passages, table
 from .common import CH, MA, PA, fold, j, query, tokens
 from .scoring import _OPT, _REL, _choice, _relevant
-from .search import _D, _N, _bm25, _corpus
+from .search import _D, _N, _bm25, _corpus, _questions
 
 _OPTQ = f"q AS (SELECT id * 10 + ascii(letra) - 64 AS qid, unnest({tokens('o')}) AS term FROM (SELECT id, e.key AS letra, e.value AS o FROM (SELECT id, unnest(map_entries(opciones)) AS e FROM preguntas WHERE id % 20 = 0 AND opciones IS NOT NULL))), qt AS (SELECT qid, term, count(*) AS qtf FROM q GROUP BY ALL)"
 
@@ -162,3 +164,60 @@ def year_fallback(spark, sf):
     """The first year of a text, 1900 where there is none."""
     y = F.regexp_extract("text", "(?:de |[-/])((?:19|20)[0-9]{2})", 1)
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.when(y == "", F.lit(1900)).otherwise(F.expr("try_cast(regexp_extract(text, '(?:de |[-/])((?:19|20)[0-9]{2})', 1) as int)")).alias("anio")).distinct()
+
+
+_FIELDS = ("tipo_documento", "vigencia", "prioridad", "tipo_chunk", "articulo_id", "doc_id")
+
+
+def _named_parts(spark, sf, questions):
+    """(qid, id): chunks of the articles that questions name expressly, and the summaries of the rulings they name."""
+    cites = C.citations(questions, "qid", "text").withColumn("anio", F.col("anio").cast("int"))
+    cites = cites.withColumn("numero", F.when(F.col("cuerpo") == "jurisprudencia", F.lower("numero")).otherwise(F.col("numero")))
+    cites = cites.withColumn("cuerpo", F.when(F.col("cuerpo") == "jurisprudencia", F.lit("sentencia")).otherwise(F.col("cuerpo")))
+    rows = chunks(spark, sf).select("chunk_id", "doc_id", "articulo_id", "tipo_chunk")
+    named = cite.resolve(cites, rows.select("doc_id")).where("doc_id is not null")
+    unit = F.when(F.col("cuerpo") == "sentencia", F.concat("doc_id", F.lit("/ficha"))).otherwise(F.concat("doc_id", F.lit("/art_"), "articulo"))
+    key = F.when(F.col("tipo_chunk") == "ficha", F.col("chunk_id")).when(F.col("tipo_chunk").isin("articulo", "parte_articulo"), F.col("articulo_id"))
+    return named.select("qid", unit.alias("u")).where("u is not null").distinct().join(rows.select(F.col("chunk_id").alias("id"), key.alias("u")), "u").select("qid", "id").distinct()
+
+
+@query()
+def hybrid_top10(spark, sf):
+    """R01, R03, R04, R09, R12, R14, R15, R16, R17 chained: stemmed lists of all chunks and of norms, fused, cited articles
+    forced in, scores adjusted, a diverse choice, and parts put together to their article."""
+    asked = _questions(spark, sf)
+    terms, docs, few = S.matched(asked, _corpus(spark, sf, stems=True, fields=_FIELDS))
+    norms = docs.where("coalesce(tipo_documento, '') <> 'sentencia'")
+    every = S.best_of(S.bm25_sums(terms, S.postings(docs), S.corpus_stats(docs), few), 100)
+    own = S.best_of(S.bm25_sums(terms, S.postings(norms), S.corpus_stats(norms), few), 50)
+    fused = S.rrf([every, own]).where("rank <= 150").select("qid", "id", "score")
+    named = _named_parts(spark, sf, asked).withColumn("cited", F.lit(True))
+    pool = fused.join(named, ["qid", "id"], "full")
+    top = fused.groupBy("qid").agg(F.max("score").alias("m"))
+    pool = pool.join(top, "qid", "left").withColumn("score", F.coalesce(F.round(F.col("score") / F.col("m"), 4), F.lit(0.0)))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    ruling, cited = text("tipo_documento") == "sentencia", F.coalesce("cited", F.lit(False))
+    scored = pool.join(docs.drop("dl", "p"), "id").withColumn("score", S.adjusted(F.col("score"), text("vigencia") == "derogada", text("prioridad"), text("tipo_chunk"), ruling, cited))
+    wanted = pool.select("id").distinct()
+    raw = table(spark, sf, "chunks").select(F.col("chunk_id").alias("id"), F.get_json_object("datos", "$.texto").alias("t")).where("t is not null")
+    sh = raw.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t")).select("id", T.shingles("t").alias("sh"))
+    article = F.col("tipo_chunk").isin("articulo", "parte_articulo")
+    unit = F.when(article, F.coalesce("articulo_id", "id")).when(F.col("tipo_chunk") == "seccion", F.regexp_replace("id", r"#\d+$", "")).otherwise(F.col("id"))
+    chosen = S.diverse(scored.join(sh, "id").select("qid", "id", F.substring_index("id", "/", 1).alias("doc_id"), unit.alias("unit"), ruling.alias("ruling"), article.alias("article"), "score", "sh", cited.alias("cited"), cited.alias("forced")))
+    kinds = docs.select("id", "tipo_chunk", "articulo_id")
+    return chosen.join(kinds, "id").select("qid", "rank", F.when(F.col("tipo_chunk") == "parte_articulo", F.col("articulo_id")).otherwise(F.col("id")).alias("pasaje"), "doc_id", "score")
+
+
+@query()
+def arm_metrics(spark, sf):
+    """Retrieval arms (all chunks, with stems, norms only) run on every question that has a basis, with their metrics at 10."""
+    relevant = _relevant(spark, sf).select("qid", "doc")
+    asked = table(spark, sf, "preguntas").where("pregunta is not null").select(F.col("id").alias("qid"), F.col("pregunta").alias("text")).join(relevant.select("qid").distinct(), "qid", "left_semi")
+    unit = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.coalesce("articulo_id", "chunk_id").alias("doc"))
+    out = None
+    for name, how in (("bm25", {}), ("bm25_raices", {"stems": True}), ("bm25_normas", {"norms": True})):
+        hits = S.bm25(asked, _corpus(spark, sf, **how), 10).select("qid", "id", "rank").join(unit, "id").select("qid", "doc", "rank")
+        got = evaluate.retrieval_metrics(hits, relevant, 10)
+        row = got.agg(F.count("*").alias("preguntas"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "rr", "ndcg")]).select(F.lit(name).alias("brazo"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

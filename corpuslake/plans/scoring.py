@@ -232,6 +232,6 @@ def locate_passage(spark, sf):
 
 @query("WITH a AS (SELECT user_id, event_id, event_type = 'purchase' AS aprobado, CAST(json_extract(props, '$.k') AS INTEGER) AS problemas, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY aprobado DESC, problemas, ts DESC, event_id) AS n FROM a) SELECT user_id, event_id, aprobado, problemas FROM r WHERE n = 1")
 def best_attempt(spark, sf):
-    """Of several attempts the approved one, else that of fewest problems, the latest of those."""
+    """Of several attempts the approved one, else that of fewest problems, the latest of those."""
     a = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("aprobado"), F.get_json_object("props", "$.k").cast("int").alias("problemas"), "ts")
     return S.ranked(a, ["user_id"], [F.col("aprobado").desc(), F.col("problemas").asc_nulls_last(), F.col("ts").desc(), F.col("event_id")], 1, "n").select("user_id", "event_id", "aprobado", "problemas")

@@ -182,3 +182,11 @@ def test_entry(spark):
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_forced_and_cited_passages(spark):
+    rows = [(1, f"j{i}", f"jur{i}", f"j{i}", True, False, 1.0 - i / 100, [f"s{i}"], i == 6, False) for i in range(8)]
+    rows += [(1, "l", "ley", "l", False, True, 0.01, ["t"], True, True)]
+    df = spark.createDataFrame(rows, "qid long, id string, doc_id string, unit string, ruling boolean, article boolean, score double, sh array<string>, cited boolean, forced boolean")
+    got = [r.id for r in S.diverse(df, k=6).orderBy("rank").collect()]
+    assert got == ["j0", "j1", "j2", "j3", "j6", "l"]

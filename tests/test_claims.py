@@ -4,7 +4,7 @@ import re
 from corpuslake.plans import registry
 
 PATH = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "OPERATORS.md")
-SHORT = ("J07", "J08", "J10", "J11", "M14", "R10", "R11", "T10", "T11")
+SHORT = ("A02", "A07", "J07", "J08", "J10", "J11", "M15", "M16", "M21", "R10", "R11", "T10", "T11", "X09")
 
 
 def test_no_query_claims_what_is_not_built():

@@ -80,7 +80,8 @@ def cleaned(t: str) -> str:
 
 
 def pieces_within(pieces: list[Piece], limit: int) -> Iterator[Piece]:
-    """Pieces no longer than ``limit``: a longer one is cut behind the last sentence end or line end that fits, else hard."""
+    """Pieces of ``limit`` characters at most, and a mark that ends a sentence right behind them: a longer one is cut behind
+    the last sentence end or line end that fits, else hard."""
     cut = re.compile(r".{1,%d}(?:[.;:]\s|\n|$)|.{1,%d}" % (limit, limit), re.S)
     for p in pieces:
         if len(p.text) <= limit:

@@ -56,4 +56,9 @@ def tokens(text: str, stems: bool = False) -> list[str]:
             s = _RULING.sub(lambda m: f" {m[1]}_{m[2]}{m[3]} {full_year(m[4] or '')} ", s)
         s = _JOINED.sub("_", s)
     words = _WORD.findall(s)
-    return [w if _DIGIT.search(w) else _stem(w) for w in words] if stems else words
+    return [term(w) for w in words] if stems else words
+
+
+def term(word: str) -> str:
+    """The stem of a token; one with a digit is an identifier and stays."""
+    return word if _DIGIT.search(word) else _stem(word)

@@ -55,16 +55,7 @@ def analysed(corpus: Corpus, only: frozenset[str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own: dict = {}
-                if in_json:
-                    try:
-                        own = json.loads(text)
-                    except ValueError:
-                        continue
-                    text = own.get("texto") if isinstance(own, dict) else None
-                if not isinstance(text, str):
-                    continue
+            for key, own, text in texts_of(batch, in_json):
                 toks = K.tokens(text, stems)
                 tf = Counter(toks if only is None else filter(only.__contains__, toks))
                 row = [key, *(own.get(f) for f in fields), len(toks), [{"term": t, "tf": n} for t, n in sorted(tf.items())]]
@@ -72,10 +63,28 @@ def analysed(corpus: Corpus, only: frozenset[str] | None = None) -> DataFrame:
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    rows = corpus.rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select(F.col("id").cast("string").alias("id"), "text")
-    names = [*fields, "dl", "p"]
-    once = rows.mapInArrow(run, ddl).groupBy("id").agg(F.max(F.struct(*names)).alias("x"))
-    return once.select("id", *[F.col(f"x.{n}").alias(n) for n in names])
+    return once(corpus.rows, run, ddl, [*fields, "dl", "p"])
+
+
+def texts_of(batch: pa.RecordBatch, in_json: bool) -> Iterator[tuple[str, dict, str]]:
+    """(id, fields, text) of the rows of a batch (id, text) that have a text."""
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        own: dict = {}
+        if in_json:
+            try:
+                own = json.loads(text)
+            except ValueError:
+                continue
+            text = own.get("texto") if isinstance(own, dict) else None
+        if isinstance(text, str):
+            yield key, own, text
+
+
+def once(rows: DataFrame, run, ddl: str, names: list[str]) -> DataFrame:
+    """(id, names): rows (id, text) mapped by ``run``; those sent again are dropped afterwards."""
+    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select(F.col("id").cast("string").alias("id"), "text")
+    only = rows.mapInArrow(run, ddl).groupBy("id").agg(F.max(F.struct(*names)).alias("x"))
+    return only.select("id", *[F.col(f"x.{n}").alias(n) for n in names])
 
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:

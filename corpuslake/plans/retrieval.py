@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import arms as A
 from ..operators import citations as C
 from ..operators import cite, evaluate
 from ..operators import search as S
+from ..session import cut_lineage
 from ..sources.tables import chunks, manifest, passages, table
 from .common import CH, MA, PA, fold, j, query, tokens
 from .scoring import _OPT, _REL, _choice, _relevant
@@ -211,13 +213,15 @@ def hybrid_top10(spark, sf):
 @query()
 def arm_metrics(spark, sf):
     """Retrieval arms (all chunks, with stems, norms only) run on every question that has a basis, with their metrics at 10."""
-    relevant = _relevant(spark, sf).select("qid", "doc")
+    relevant = cut_lineage(_relevant(spark, sf).select("qid", "doc"))
     asked = table(spark, sf, "preguntas").where("pregunta is not null").select(F.col("id").alias("qid"), F.col("pregunta").alias("text")).join(relevant.select("qid").distinct(), "qid", "left_semi")
     unit = chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.coalesce("articulo_id", "chunk_id").alias("doc"))
+    how = {"bm25": A.Arm(), "bm25_raices": A.Arm(stems=True), "bm25_normas": A.Arm(where="coalesce(tipo_documento, '') <> 'sentencia'")}
+    found = A.search(asked, _corpus(spark, sf, fields=("tipo_documento",)), how, 10)
+    hits = cut_lineage(found.select("arm", "qid", "id", "rank").join(unit, "id").select("arm", "qid", "doc", "rank"))
     out = None
-    for name, how in (("bm25", {}), ("bm25_raices", {"stems": True}), ("bm25_normas", {"norms": True})):
-        hits = S.bm25(asked, _corpus(spark, sf, **how), 10).select("qid", "id", "rank").join(unit, "id").select("qid", "doc", "rank")
-        got = evaluate.retrieval_metrics(hits, relevant, 10)
+    for name in how:
+        got = evaluate.retrieval_metrics(hits.where(F.col("arm") == name), relevant, 10)
         row = got.agg(F.count("*").alias("preguntas"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "rr", "ndcg")]).select(F.lit(name).alias("brazo"), "*")
         out = row if out is None else out.unionByName(row)
     return out
